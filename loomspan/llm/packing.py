@@ -26,9 +26,9 @@ from loomspan.llm.shared import settle, slices, texts_of
 from loomspan.llm.tokens import encoder
 
 END_ID = 0
-#: Equal-cardinality groups of large lengths, and the share of the capacity
-#: above which a length is large.
-GROUPS, LARGE = 48, 0.1
+#: Numbers of equal-cardinality groups of large lengths that are tried, and the
+#: share of the capacity above which a length is large.
+GROUPS, LARGE = (24, 48, 96, 192), 0.1
 #: Pieces that share a bucket when ranks are given out.
 BUCKET_ROWS = 50_000
 
@@ -129,7 +129,13 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
 Run = tuple[int, list[tuple[int, int]]]
 
 
-def plan(counts: np.ndarray, capacity: int, groups: int = GROUPS, large: float = LARGE) -> list[Run]:
+def best_plan(counts: np.ndarray, capacity: int, groups: tuple[int, ...] = GROUPS, large: float = LARGE) -> list[Run]:
+    """The plan of fewest sequences over several numbers of groups; a plan is
+    made on the histogram alone, so trying some costs the same at any size."""
+    return min((plan(counts, capacity, g, large) for g in groups), key=lambda runs: sum(times for times, _ in runs))
+
+
+def plan(counts: np.ndarray, capacity: int, groups: int, large: float = LARGE) -> list[Run]:
     """Runs of like sequences: (number of sequences, [(length, times)]). Every
     length is used exactly ``counts[length]`` times."""
     counts = counts.astype(np.int64).copy()
@@ -248,7 +254,7 @@ def places(runs: list[Run]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "first", "base", "offset", "each"), table.T, strict=True))
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, groups: int = GROUPS, spaced: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, groups: tuple[int, ...] = GROUPS, spaced: bool = False) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset``: one
     row per piece, gapless from 0 in each sequence.
 
@@ -266,7 +272,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for row in held.groupBy("length").agg(F.sum("_n").alias("n")).collect():
         counts[row["length"]] = row["n"]
-    table = places(plan(counts, capacity, groups))
+    table = places(best_plan(counts, capacity, groups))
     shared, most = spark.sparkContext.broadcast(table), int(counts.max()) + 1
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     held = held.select(F.col("length").alias("_l"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

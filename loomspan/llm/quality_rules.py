@@ -99,8 +99,8 @@ def quality_rules(
     id_col: str = "doc_id",
     text_col: str = "text",
     least_repeat: int = 8,
-    max_covered: float = 0.2,
-    max_longest: int = 60,
+    max_covered: float = 0.3,
+    max_longest: int = 100,
     min_words: int = 20,
     max_repeat_percent: int = 30,
     chunk_bytes: int = 4 << 20,
@@ -113,8 +113,8 @@ def quality_rules(
     two places of its text, which may overlap. ``covered_chars`` counts the
     characters of the words in the union of the maximal repeats. The method
     rejects a text of which they are more than ``max_covered``, or whose
-    longest repeat has more than ``max_longest`` words and more than a
-    twentieth of the text's; base rules come first.
+    longest repeat has more than ``max_longest`` words and more than a tenth
+    of the text's; base rules come first.
 
     Null, empty and word-less texts have zeros and fail the base rule. A very
     long text is handled whole, in a chunk of its own. Repeated rows give
@@ -143,7 +143,7 @@ def quality_rules(
             symbols = np.array([len(t) - len(t.translate(None, SYMBOLS)) for t in texts], dtype=np.int64)
             lines = np.array([_dup_lines(t) for t in texts], dtype=np.int64)
             failed = (n_words < min_words) | (100 * repeat_words > max_repeat_percent * n_words)
-            bad = (repeat_chars > max_covered * total) | (longest > max_longest) & (20 * longest > n_words)
+            bad = (repeat_chars > max_covered * total) | (longest > max_longest) & (10 * longest > n_words)
             cols = [n_words, total, symbols, lines, repeat_words.astype(np.int64), repeat_chars, longest, failed, ~failed & ~bad]
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols)], names)
 
