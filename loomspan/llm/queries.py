@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm import chat_format, mixing, packing, quality_rules, simhash, token_store, topk_search
+from loomspan.llm import chat_format, mixing, packing, quality_rules, simhash, substring_dedup, token_store, topk_search
 
 #: Where the vocabulary files are; only their paths enter the operators.
 TOKENIZERS = os.environ.get("LOOMSPAN_TOKENIZERS", "")
@@ -26,6 +26,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), window=13).drop("kept_text")
+
+
+SQL_OP1 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS gram
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+f AS (SELECT gram, min(doc_id) AS low FROM g GROUP BY gram HAVING min(doc_id) <> max(doc_id)),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM g JOIN f USING (gram) WHERE low < doc_id),
+kept AS (
+  SELECT x.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d) x
+  ANTI JOIN gone ON x.doc_id = gone.doc_id AND x.i = gone.i
+  GROUP BY x.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     say = "<|im_end|><|im_start|>assistant ok"
@@ -146,6 +170,7 @@ FROM p
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op2_chat_formatting": op2_chat_formatting,
         "op3_quality_rules": op3_quality_rules,
         "op5_topk_search": op5_topk_search,
@@ -157,4 +182,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": SQL_OP2, "op5_topk_search": SQL_OP5, "op10_source_mix": SQL_OP10}
+    return {"op1_substring_dedup": SQL_OP1, "op2_chat_formatting": SQL_OP2, "op5_topk_search": SQL_OP5, "op10_source_mix": SQL_OP10}
