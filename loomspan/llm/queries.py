@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm import chat_format, mixing, packing, quality_rules, simhash, substring_dedup, token_store, topk_search
+from loomspan.llm import chat_format, lm_scoring, mixing, packing, quality_rules, simhash, substring_dedup, token_store, topk_search
 
 #: Where the vocabulary files are; only their paths enter the operators.
 TOKENIZERS = os.environ.get("LOOMSPAN_TOKENIZERS", "")
@@ -84,6 +84,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(_table(spark, sf_dir, "documents"))
+
+
 def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -173,6 +177,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_substring_dedup": op1_substring_dedup,
         "op2_chat_formatting": op2_chat_formatting,
         "op3_quality_rules": op3_quality_rules,
+        "op4_lm_scoring": op4_lm_scoring,
         "op5_topk_search": op5_topk_search,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_simhash_trie": op7_simhash_trie,
