@@ -31,13 +31,18 @@ def fill_targets(sizes: list[int], weights: list[float], total: float, cap: floa
     return out
 
 
-def draw(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+def row_key(doc_id: Column, text: Column) -> Column:
+    """An MD5 of id and text; nulls are empty."""
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit(""))))
+
+
+def draw(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``doc_id, source, size, row_key, _u`` of every row, without its text:
     the words that it has, an MD5 of id and text that tells rows apart, and a
     number in (0, 1) from that."""
     body = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), body))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(body, F.lit(WORD)).cast("long").alias("size"), key.alias("row_key"), *keep)
+    key = row_key(F.col(id_col), F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(body, F.lit(WORD)).cast("long").alias("size"), key.alias("row_key"))
     u = (F.conv(F.substring("row_key", 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
     return rows.withColumn("_u", u)
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm import chat_format, lm_scoring, mixing, packing, quality_rules, simhash, substring_dedup, token_store, topk_search
+from loomspan.llm import chat_format, lm_scoring, mixing, packing, quality_rules, simhash, substring_dedup, token_store, topk_search, toxicity
 
 #: Where the vocabulary files are; only their paths enter the operators.
 TOKENIZERS = os.environ.get("LOOMSPAN_TOKENIZERS", "")
@@ -119,6 +119,15 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_digests(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def toxicity_categories() -> dict[str, Column]:
+    """The chain over the label columns: poor quality first, then toxicity."""
+    return {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
+
+
+def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), toxicity_categories())
+
+
 #: Quality weights of the mix: labelled good, labelled bad; others weigh 1.
 GOOD, BAD = 2.0, 0.5
 
@@ -182,6 +191,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_simhash_trie": op7_simhash_trie,
         "op8_token_store": op8_token_store,
+        "op9_toxicity_chain": op9_toxicity_chain,
         "op10_source_mix": op10_source_mix,
     }
 
