@@ -2,51 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from loomspan.plans import estimation, linkage, panels, relational, texts  # noqa: F401
+from loomspan.plans.registry import QUERIES, SQL, Query
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-FLAGSHIP = "agg_basic"
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Names a query; ``sql`` is what DuckDB answers the same with."""
-
-    def put(query: Query) -> Query:
-        if name in _QUERIES:
-            raise ValueError(f"{name} is taken")
-        _QUERIES[name] = query
-        if sql is not None:
-            _SQL[name] = sql
-        return query
-
-    return put
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@register(
-    "agg_basic",
-    """SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS sum_qty,
-       round(avg(l_discount), 6) AS avg_disc
-       FROM lineitem GROUP BY l_returnflag, l_linestatus""",
-)
-def agg_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(
-        F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.avg("l_discount"), 6).alias("avg_disc")
-    )
+FLAGSHIP = "shift_share_z"
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
