@@ -1 +1,262 @@
-"""."""
+"""Linkage: blocks, weights, scores, pruning, ranks, clusters, assignment."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from loomspan.operators import assignment as A
+from loomspan.operators import linkage as L
+from loomspan.operators.graph import components
+from loomspan.plans.registry import register, table
+
+_CANDIDATES = """cand AS (SELECT l_partkey AS part, l_suppkey AS supp, count(*) AS n, avg(l_discount) AS disc, sum(l_quantity) AS qty,
+1 - avg(l_tax) AS tax FROM lineitem GROUP BY 1, 2)"""
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp")).agg(
+        F.count("*").alias("n"), F.avg("l_discount").alias("disc"), F.sum("l_quantity").alias("qty"), (1 - F.avg("l_tax")).alias("tax")
+    )
+
+
+_TOKENS = "tok AS (SELECT DISTINCT p_partkey, unnest(string_split(lower(p_name || ' ' || p_type), ' ')) AS token FROM part), dfr AS (SELECT token, count(DISTINCT p_partkey) AS df FROM tok GROUP BY 1)"
+
+
+def _tokens(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("t"))
+    return L.token_table(p, "p_partkey", "t")
+
+
+@register("token_idf", f"WITH {_TOKENS} SELECT token, df, round(1 / log10(1 + df), 6) AS idf, round(ln((SELECT count(*) FROM part) / (1 + df)), 6) AS idf_ln FROM dfr WHERE 1 / log10(1 + df) >= 0.1")
+def token_idf(spark: SparkSession, d: str) -> DataFrame:
+    f = L.document_frequency(_tokens(spark, d), "p_partkey")
+    n = table(spark, d, "part").agg(F.count("*").alias("total"))
+    f = f.crossJoin(F.broadcast(n)).withColumn("idf", L.idf_log10(F.col("df"))).where("idf >= 0.1")
+    return f.select("token", "df", F.round("idf", 6).alias("idf"), F.round(L.idf_natural(F.col("df"), F.col("total")), 6).alias("idf_ln"))
+
+
+@register("rarest_tokens", f"WITH {_TOKENS} SELECT p_partkey, token, df, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY df, token) AS INTEGER) AS nth FROM tok JOIN dfr USING (token) QUALIFY nth <= 2")
+def rarest_tokens(spark: SparkSession, d: str) -> DataFrame:
+    t = _tokens(spark, d)
+    return L.rarest(t, L.document_frequency(t, "p_partkey"), "p_partkey").select("p_partkey", "token", "df", "nth")
+
+
+_WORDS = r"""w AS (SELECT DISTINCT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS token FROM documents WHERE lang = 'en'),
+wf AS (SELECT token, count(*) AS df FROM w GROUP BY 1)"""
+
+
+def _words(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    w = L.token_table(table(spark, d, "documents").where("lang = 'en'"), "doc_id", "text")
+    return w, L.document_frequency(w, "doc_id")
+
+
+@register("rare_token_block", f"WITH {_WORDS} SELECT a.doc_id AS a_doc, b.doc_id AS b_doc, count(*) AS shared FROM w a JOIN wf USING (token) JOIN w b USING (token) WHERE df BETWEEN 2 AND 4 AND a.doc_id < b.doc_id GROUP BY 1, 2 HAVING count(*) >= 2")
+def rare_token_block(spark: SparkSession, d: str) -> DataFrame:
+    w, f = _words(spark, d)
+    rare = w.join(f.where("df BETWEEN 2 AND 4"), "token")
+    # a token of four documents at most: the group is an array, its pairs at most six
+    groups = rare.groupBy("token").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    pairs = F.flatten(F.transform("ids", lambda a, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda b: F.struct(a.alias("a_doc"), b.alias("b_doc")))))
+    pairs = groups.select(F.explode(pairs).alias("p")).select("p.a_doc", "p.b_doc")
+    return pairs.groupBy("a_doc", "b_doc").agg(F.count("*").alias("shared")).where("shared >= 2")
+
+
+@register("subset_token_score", f"""WITH {_TOKENS}, t AS (SELECT p_partkey, token, 1 / log10(1 + df) AS weight FROM tok JOIN dfr USING (token)),
+s AS (SELECT a.p_partkey AS a_key, b.p_partkey AS b_key, count(*) AS shared, sum(a.weight) AS w FROM t a JOIN t b USING (token)
+  WHERE a.p_partkey < b.p_partkey AND a.p_partkey % 20 = 0 AND b.p_partkey % 20 = 1 GROUP BY 1, 2),
+z AS (SELECT p_partkey AS k, sum(weight) AS total FROM t GROUP BY 1)
+SELECT a_key, b_key, shared, round(w / least(x.total, y.total), 6) AS score FROM s JOIN z x ON a_key = x.k JOIN z y ON b_key = y.k""")
+def subset_token_score(spark: SparkSession, d: str) -> DataFrame:
+    t = _tokens(spark, d)
+    t = t.join(L.document_frequency(t, "p_partkey").select("token", L.idf_log10(F.col("df")).alias("weight")), "token")
+    a = t.where("p_partkey % 20 = 0").withColumnRenamed("p_partkey", "a_key")
+    b = t.where("p_partkey % 20 = 1").withColumnRenamed("p_partkey", "b_key")
+    pairs = a.select("a_key", "token").join(b.select("b_key", "token"), "token").where("a_key < b_key").select("a_key", "b_key").distinct()
+    s = L.subset_score(pairs, a, b, "a_key", "b_key")
+    return s.select("a_key", "b_key", "shared", F.round("score", 6).alias("score"))
+
+
+@register("score_additive", f"WITH {_CANDIDATES} SELECT part, supp, round(0.5 * disc + 0.2 * tax + 0.01 * qty, 6) AS score FROM cand")
+def score_additive(spark: SparkSession, d: str) -> DataFrame:
+    return _candidates(spark, d).select("part", "supp", F.round(L.additive({"disc": 0.5, "tax": 0.2, "qty": 0.01}), 6).alias("score"))
+
+
+@register("score_geometric", f"WITH {_CANDIDATES} SELECT part, supp, round(greatest(disc, 1e-9::DOUBLE) ^ 0.5 * greatest(tax, 1e-9::DOUBLE) ^ 0.3 * greatest(qty, 1e-9::DOUBLE) ^ 0.2, 6) AS score FROM cand")
+def score_geometric(spark: SparkSession, d: str) -> DataFrame:
+    return _candidates(spark, d).select("part", "supp", F.round(L.geometric({"disc": 0.5, "tax": 0.3, "qty": 0.2}), 6).alias("score"))
+
+
+@register("idf_saturating", f"WITH {_CANDIDATES} SELECT part, supp, round(0.8 * (1 - exp(-n / 2)), 6) AS evidence, round(1 / (1 + (n - 1) / 3), 6) AS decay FROM cand")
+def idf_saturating(spark: SparkSession, d: str) -> DataFrame:
+    return _candidates(spark, d).select("part", "supp", F.round(L.saturating(F.col("n"), 0.8, 2.0), 6).alias("evidence"), F.round(L.hyperbolic(F.col("n"), 3.0), 6).alias("decay"))
+
+
+@register("field_and_year_score", """SELECT p_partkey, round(greatest(0, 1 - abs(p_size - 25) / 11.0) ^ 2, 6) AS year_score,
+CASE WHEN p_size * 100 = 2500 THEN 1.0 WHEN p_size = 24 THEN 0.7 ELSE 0.0 END AS field_score FROM (SELECT p_partkey, p_size FROM part)""")
+def field_and_year_score(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    code = F.when(F.col("p_size") == 24, 2599).otherwise(F.col("p_size") * 100)
+    return p.select("p_partkey", F.round(L.year_score(F.col("p_size") - 25, 10.0, 2.0), 6).alias("year_score"), L.field_score(code, F.lit(2500)).alias("field_score"))
+
+
+@register("relative_prune", f"WITH {_CANDIDATES} SELECT part, supp FROM cand QUALIFY qty >= max(qty) OVER (PARTITION BY part) - 10")
+def relative_prune(spark: SparkSession, d: str) -> DataFrame:
+    return L.prune(_candidates(spark, d), ["part"], "qty", 10).select("part", "supp")
+
+
+@register("seq_prune_chain", f"""WITH {_CANDIDATES}, a AS (SELECT * FROM cand QUALIFY qty >= max(qty) OVER (PARTITION BY part) - 20),
+b AS (SELECT * FROM a QUALIFY disc >= max(disc) OVER (PARTITION BY part) - 0.02)
+SELECT part, supp FROM b QUALIFY tax >= max(tax) OVER (PARTITION BY part) - 0.01""")
+def seq_prune_chain(spark: SparkSession, d: str) -> DataFrame:
+    return L.prune_chain(_candidates(spark, d), ["part"], [("qty", 20), ("disc", 0.02), ("tax", 0.01)]).select("part", "supp")
+
+
+@register("ambiguity_flags", f"""WITH {_CANDIDATES}, r AS (SELECT part, supp, qty, qty / sum(qty) OVER (PARTITION BY part) AS weight,
+row_number() OVER (PARTITION BY part ORDER BY qty DESC, supp) AS rank FROM cand),
+g AS (SELECT *, max(CASE WHEN rank = 1 THEN qty END) OVER (PARTITION BY part) - max(CASE WHEN rank = 2 THEN qty END) OVER (PARTITION BY part) AS top_gap FROM r)
+SELECT part, supp, round(weight, 10) AS weight, CAST(rank AS INTEGER) AS rank, coalesce(top_gap <= 5, false) AS ambiguous FROM g""")
+def ambiguity_flags(spark: SparkSession, d: str) -> DataFrame:
+    r = L.rank_and_flag(_candidates(spark, d), ["part"], "qty", ["supp"], 5)
+    return r.select("part", "supp", F.round("weight", 10).alias("weight"), "rank", "ambiguous")
+
+
+@register("strict_best_match", f"""WITH {_CANDIDATES} SELECT part, supp, CAST(k AS INTEGER) AS n_left FROM (
+SELECT *, count(*) OVER (PARTITION BY part) AS k, row_number() OVER (PARTITION BY part ORDER BY qty DESC, supp) AS r FROM cand) WHERE r = 1 AND qty > 40 AND k <= 30""")
+def strict_best_match(spark: SparkSession, d: str) -> DataFrame:
+    r = L.rank_and_flag(_candidates(spark, d), ["part"], "qty", ["supp"], 5)
+    r = r.withColumn("n_left", F.count("*").over(Window.partitionBy("part")).cast("int"))
+    return r.where("rank = 1 AND qty > 40 AND n_left <= 30").select("part", "supp", "n_left")
+
+
+@register("person_evidence", f"""WITH {_CANDIDATES}, p AS (SELECT part % 100 AS person, supp, sum(disc) AS total, count(*) AS n FROM cand GROUP BY 1, 2)
+SELECT person, supp, n, round(total / sum(total) OVER (PARTITION BY person), 6) AS weight FROM p""")
+def person_evidence(spark: SparkSession, d: str) -> DataFrame:
+    p = _candidates(spark, d).groupBy((F.col("part") % 100).alias("person"), "supp").agg(F.sum("disc").alias("total"), F.count("*").alias("n"))
+    r = L.rank_and_flag(p, ["person"], "total", ["supp"], 0.0)
+    return r.select("person", "supp", "n", F.round("weight", 6).alias("weight"))
+
+
+@register("competition_penalty", """WITH s AS (SELECT c_nationkey AS g, c_mktsegment AS o, c_custkey, c_acctbal AS s FROM customer),
+b AS (SELECT g, o, max(s) AS m FROM s GROUP BY 1, 2)
+SELECT c_custkey, coalesce((SELECT max(m) FROM b WHERE b.g = s.g AND b.o <> s.o), 0) AS best_other FROM s""")
+def competition_penalty(spark: SparkSession, d: str) -> DataFrame:
+    return L.competition(table(spark, d, "customer"), "c_nationkey", "c_mktsegment", "c_acctbal").select("c_custkey", "best_other")
+
+
+@register("json_probs_blend", """WITH a AS (SELECT user_id AS u, event_type AS o, count(*) * 1.0 AS s FROM events GROUP BY 1, 2),
+b AS (SELECT user_id AS u, event_type AS o, sum(CAST(json_extract_string(props, '$.k') AS DOUBLE)) / 100 AS s FROM events GROUP BY 1, 2),
+t AS (SELECT u, o, sum(s) AS s FROM (SELECT u, o, 0.7 * s AS s FROM a UNION ALL SELECT u, o, 0.3 * s FROM b) GROUP BY 1, 2)
+SELECT u AS user_id, o AS event_type, round(s / sum(s) OVER (PARTITION BY u), 6) AS p FROM t""")
+def json_probs_blend(spark: SparkSession, d: str) -> DataFrame:
+    """Option scores from JSON maps and from counts, blended to shares."""
+    e = table(spark, d, "events").withColumn("k", F.from_json("props", "map<string,double>"))
+    long = e.select("user_id", "event_type", F.explode("k").alias("name", "v")).where("name = 'k'")
+    b = long.groupBy("user_id", "event_type").agg((F.sum("v") / 100).alias("p"))
+    a = e.groupBy("user_id", "event_type").agg(F.count("*").cast("double").alias("p"))
+    both = L.blend([(a, 0.7), (b, 0.3)], ["user_id"], "event_type", "p")
+    return both.select("user_id", "event_type", F.round("p", 6).alias("p"))
+
+
+@register("keyed_dot_product", """WITH f AS (SELECT o_custkey AS c, p_brand AS k, count(*) * 1.0 AS x FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2)
+SELECT a.c, round(sum(a.x * b.x), 4) AS dot FROM f a JOIN f b ON b.c = a.c + 1 AND a.k = b.k GROUP BY 1""")
+def keyed_dot_product(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    f = o.groupBy("o_custkey", "p_brand").agg(F.count("*").cast("double").alias("x"))
+    f = f.groupBy(F.col("o_custkey").alias("c")).agg(F.collect_list(F.struct("p_brand", "x")).alias("v"))
+    f = f.select("c", F.col("v.p_brand").alias("k"), F.col("v.x").alias("x"))
+    g = f.select((F.col("c") - 1).alias("c"), F.col("k").alias("k2"), F.col("x").alias("x2"))
+    out = f.join(g, "c").withColumn("dot", L.dot(F.col("k"), F.col("x"), F.col("k2"), F.col("x2")))
+    return out.where(F.size(F.array_intersect("k", "k2")) > 0).select("c", F.round("dot", 4).alias("dot"))
+
+
+@register("connected_components", """WITH RECURSIVE e AS (SELECT DISTINCT a.o_custkey AS x, b.o_custkey AS y FROM orders a JOIN lineitem l ON l.l_orderkey = a.o_orderkey
+JOIN lineitem m ON m.l_partkey = l.l_partkey AND m.l_suppkey = l.l_suppkey JOIN orders b ON b.o_orderkey = m.l_orderkey WHERE a.o_custkey <> b.o_custkey AND l.l_partkey % 20 = 0),
+s AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+r(node, reach) AS (SELECT x, x FROM s UNION SELECT r.node, s.y FROM r JOIN s ON s.x = r.reach)
+SELECT node, min(reach) AS component FROM r GROUP BY 1""")
+def connected_components(spark: SparkSession, d: str) -> DataFrame:
+    l = table(spark, d, "lineitem").where("l_partkey % 20 = 0").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))  # noqa: E741
+    key = l.select("l_partkey", "l_suppkey", "o_custkey").distinct()
+    # a star to the smallest customer of a key links all of them
+    hub = key.withColumn("hub", F.min("o_custkey").over(Window.partitionBy("l_partkey", "l_suppkey")))
+    return components(hub.where("hub != o_custkey").select("o_custkey", "hub"), "o_custkey", "hub")
+
+
+@register("person_linkage", """SELECT c_custkey AS node, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) AS component FROM customer
+QUALIFY count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) > 1""")
+def person_linkage(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours in key order are linked; ids come from their components."""
+    order = Window.partitionBy("c_nationkey", "c_mktsegment").orderBy("c_custkey")
+    e = table(spark, d, "customer").withColumn("before", F.lag("c_custkey").over(order)).where("before IS NOT NULL")
+    return components(e, "c_custkey", "before")
+
+
+@register("greedy_dedup", f"""WITH {_CANDIDATES}, a AS (SELECT part, supp, round(disc, 9) AS s FROM cand QUALIFY row_number() OVER (PARTITION BY supp ORDER BY round(disc, 9) DESC, part) = 1)
+SELECT part, supp FROM a QUALIFY row_number() OVER (PARTITION BY part ORDER BY s DESC, supp) = 1""")
+def greedy_dedup(spark: SparkSession, d: str) -> DataFrame:
+    c = _candidates(spark, d).select("part", "supp", F.round("disc", 9).alias("s"))
+    return A.greedy(c, "part", "supp", "s").select("part", "supp")
+
+
+@register("hungarian_groups")
+def hungarian_groups(spark: SparkSession, d: str) -> DataFrame:
+    """In each order, lines to suppliers of the same nation as the line's."""
+    l = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice")  # noqa: E741
+    pairs = l.groupBy("l_orderkey", "l_partkey", (F.col("l_suppkey") % 5).alias("slot")).agg(F.max("l_extendedprice").alias("score"))
+    return A.assign_within(pairs, ["l_orderkey"], "l_partkey", "slot", "score")
+
+
+@register("global_one_to_one")
+def global_one_to_one(spark: SparkSession, d: str) -> DataFrame:
+    c = L.prune(_candidates(spark, d).where("n >= 2"), ["part"], "qty", 5).select("part", "supp", "qty")
+    return A.assign_globally(c, "part", "supp", "qty")
+
+
+@register("nn_match_caliper", """SELECT a.c_nationkey, a.c_custkey, b.c_custkey AS match, round(abs(a.c_acctbal - b.c_acctbal), 4) AS distance
+FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = 'BUILDING' AND b.c_mktsegment <> 'BUILDING' AND abs(a.c_acctbal - b.c_acctbal) <= 2000
+QUALIFY row_number() OVER (PARTITION BY a.c_custkey ORDER BY abs(a.c_acctbal - b.c_acctbal), b.c_custkey) = 1""")
+def nn_match_caliper(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer")
+    m = A.nearest(c.where("c_mktsegment = 'BUILDING'"), c.where("c_mktsegment != 'BUILDING'"), ["c_nationkey"], "c_custkey", "c_acctbal", 2000.0)
+    return m.select("c_nationkey", "c_custkey", "match", F.round("distance", 4).alias("distance"))
+
+
+@register("nn_match_once")
+def nn_match_once(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer")
+    return A.nearest_once(c.where("c_mktsegment = 'BUILDING'"), c.where("c_mktsegment != 'BUILDING'"), ["c_nationkey"], "c_custkey", "c_acctbal", 2000.0)
+
+
+@register("lsh_tokens", f"""WITH {_TOKENS} SELECT a.p_partkey, a.token || ' ' || b.token AS band FROM tok a JOIN tok b ON a.p_partkey = b.p_partkey AND a.token < b.token""")
+def lsh_tokens(spark: SparkSession, d: str) -> DataFrame:
+    t = _tokens(spark, d).groupBy("p_partkey").agg(F.collect_list("token").alias("t"))
+    return t.select("p_partkey", F.explode(L.lsh_bands(F.col("t"), 2)).alias("band"))
+
+
+@register("fellegi_sunter")
+def fellegi_sunter(spark: SparkSession, d: str) -> DataFrame:
+    """Match weights of customer pairs in a block; u from random pairs, m by EM."""
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
+    e = c.select(F.col("c_custkey").alias("o"), F.col("c_nationkey").alias("on"), F.col("c_mktsegment").alias("os"), F.col("c_acctbal").alias("ob"))
+    near = c.join(e, (F.col("c_nationkey") == F.col("on")) & (F.floor(F.col("c_acctbal") / 500) == F.floor(F.col("ob") / 500)) & (F.col("c_custkey") < F.col("o")))
+    seg = (F.col("c_mktsegment") == F.col("os")).cast("int")
+    bal = L.level(-F.abs(F.col("c_acctbal") - F.col("ob")), [-200.0, -50.0])
+    vectors = near.select("c_custkey", F.col("o").alias("other"), seg.alias("segment"), bal.alias("balance"))
+    u = {"segment": [0.8, 0.2], "balance": [0.6, 0.25, 0.15]}
+    m = L.fit_fellegi_sunter(vectors, {"segment": 2, "balance": 3}, 0.05, u)
+    return vectors.withColumn("weight", F.round(L.match_weight(m, u), 6))
+
+
+@register("embedding_topk", """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (
+SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.e, b.e), 6) AS cosine FROM v a JOIN v b ON a.vec_id < 25 AND a.vec_id <> b.vec_id)
+SELECT query_id, vec_id, cosine FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) <= 5""")
+def embedding_topk(spark: SparkSession, d: str) -> DataFrame:
+    """A set query of 25 vectors against all: the queries are broadcast."""
+    v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    norm = lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, y: s + y * y))
+    q = v.where("vec_id < 25").select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"))
+    dot = F.aggregate(F.zip_with("q", "e", lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y)
+    s = v.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot / (norm(F.col("q")) * norm(F.col("e"))), 6).alias("cosine"))
+    order = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "vec_id")
+    return s.withColumn("r", F.row_number().over(order)).where("r <= 5").drop("r")
