@@ -16,10 +16,10 @@ passages cut alike wherever they stand. The store is three Parquet tables:
 from __future__ import annotations
 
 import hashlib
-import struct
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,25 +37,36 @@ WINDOW, MASK, LEAST, MOST = 16, 0x1FF, 64, 4096
 FACTOR = 0x9E3779B97F4A7C15
 
 
-def cuts(ids: np.ndarray) -> np.ndarray:
-    """Ends of the chunks of one id stream."""
-    n = len(ids)
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places where the rolling hash of the last ``WINDOW`` ids asks for a cut."""
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(FACTOR)
     mixed ^= mixed >> np.uint64(29)
     powers = np.cumprod(np.full(WINDOW, 0xBF58476D1CE4E5B9, dtype=np.uint64))
-    rolled = np.zeros(n, dtype=np.uint64)
-    for k in range(min(WINDOW, n)):
-        rolled[k:] += mixed[: n - k] * powers[k]
-    marks = np.flatnonzero((rolled >> np.uint64(40)) & np.uint64(MASK) == 0) + 1
-    out, last = [], 0
-    for m in [*marks.tolist(), n]:
-        while m - last > MOST:
-            last += MOST
-            out.append(last)
-        if m - last >= LEAST or m == n and m > last:
-            out.append(m)
-            last = m
-    return np.array(out, dtype=np.int64)
+    rolled = np.zeros(len(ids), dtype=np.uint64)
+    for k in range(min(WINDOW, len(ids))):
+        rolled[k:] += mixed[: len(ids) - k] * powers[k]
+    return np.flatnonzero((rolled >> np.uint64(40)) & np.uint64(MASK) == 0) + 1
+
+
+def cuts(ids: np.ndarray, lengths: np.ndarray) -> list[list[int]]:
+    """Ends of the chunks of each of the streams that ``ids`` holds one after
+    the other. ``LEAST`` exceeds the window, so no cut depends on the stream
+    before."""
+    found, out = marks(ids), []
+    ends = np.cumsum(lengths)
+    first = np.searchsorted(found, ends - lengths, side="right").tolist()
+    past = np.searchsorted(found, ends, side="right").tolist()
+    for start, n, a, b in zip((ends - lengths).tolist(), lengths.tolist(), first, past, strict=True):
+        own, last = [], 0
+        for m in [*(found[a:b] - start).tolist(), n]:
+            while m - last > MOST:
+                last += MOST
+                own.append(last)
+            if m - last >= LEAST or m == n and m > last:
+                own.append(m)
+                last = m
+        out.append(own)
+    return out
 
 
 def merkle(leaves: list[bytes]) -> bytes:
@@ -68,9 +79,9 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def encode_payload(ids: np.ndarray) -> bytes:
+def encode_payload(ids: np.ndarray, codec: zstandard.ZstdCompressor) -> bytes:
     small = not len(ids) or int(ids.max()) < 65_536
-    return (b"\x02" if small else b"\x04") + zstandard.ZstdCompressor(level=1).compress(ids.astype("<u2" if small else "<u4").tobytes())
+    return (b"\x02" if small else b"\x04") + codec.compress(ids.astype("<u2" if small else "<u4").tobytes())
 
 
 def decode_payload(payload: bytes) -> np.ndarray:
@@ -132,21 +143,22 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = encoder(tokenizer, spaced)
+        codec, packer = encoder(tokenizer, spaced), zstandard.ZstdCompressor(level=1)
         end = np.array([END_ID], dtype="<u4").tobytes()
         kinds = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("parts", pa.binary()), ("address", pa.binary()), ("n_ids", pa.int32()), ("payload", pa.binary())]
         for batch in slices(batches, "text", 8 << 20):
             rows: list[list] = [[] for _ in kinds]
             seen: set[bytes] = set()
-            for doc, stream in zip(batch.column(0).to_pylist(), codec.encode(texts_of(batch, "text")), strict=True):
-                stream += end
+            streams = [s + end for s in codec.encode(texts_of(batch, "text"))]
+            places = cuts(np.frombuffer(b"".join(streams), dtype="<u4"), np.array([len(s) // 4 for s in streams], dtype=np.int64))
+            for doc, stream, own in zip(batch.column(0).to_pylist(), streams, places, strict=True):
                 ids, last, parts = np.frombuffer(stream, dtype="<u4"), 0, []
-                for at in cuts(ids).tolist():
+                for at in own:
                     address = hashlib.sha256(stream[4 * last : 4 * at]).digest()
                     parts.append(address)
                     if address not in seen:
                         seen.add(address)
-                        for out, x in zip(rows, (None, None, None, address, at - last, encode_payload(ids[last:at])), strict=True):
+                        for out, x in zip(rows, (None, None, None, address, at - last, encode_payload(ids[last:at], packer)), strict=True):
                             out.append(x)
                     last = at
                 for out, x in zip(rows, (doc, len(ids), b"".join(parts), None, None, None), strict=True):
@@ -252,25 +264,34 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 
     def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            start, n_tokens, parts, root = (c.to_pylist() for c in batch.columns)
-            rows = [(s, k, p[i : i + 32]) for s, p in zip(start, parts, strict=True) for k, i in enumerate(range(0, len(p), 32))]
-            good = {s: merkle([p[i : i + 32] for i in range(0, len(p), 32)]) == r for s, p, r in zip(start, parts, root, strict=True)}
-            cols = [[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [good[r[0]] for r in rows]]
-            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["start", "k", "address", "good"])
+            start, parts, root = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            lists = [[p[i : i + 32] for i in range(0, len(p), 32)] for p in parts]
+            good = np.array([merkle(x) == r for x, r in zip(lists, root, strict=True)], dtype=bool)
+            sizes = np.array([len(x) for x in lists], dtype=np.int64)
+            nth = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            cols = (np.repeat(start, sizes), nth.astype(np.int32), pa.array(chain.from_iterable(lists), pa.binary()), np.repeat(good, sizes))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["start", "k", "address", "good"])
 
     recipes = spark.read.parquet(f"{path}/recipes")
-    parts = recipes.select("start", "n_tokens", "parts", "root").mapInArrow(parted, "start long, k int, address binary, good boolean")
+    parts = recipes.select("start", "parts", "root").mapInArrow(parted, "start long, k int, address binary, good boolean")
+    # a part as one number: its length and its CRC-32
+    part = F.struct("k", F.shiftleft(F.coalesce("n", F.lit(0)), 32).bitwiseOR(F.coalesce("crc", F.lit(0))).alias("x"))
     found = parts.join(chunks, "address", "left").groupBy("start").agg(
-        F.sort_array(F.collect_list(F.struct("k", "n", "crc"))).alias("list"),
+        F.transform(F.sort_array(F.collect_list(part)), lambda p: p["x"]).alias("list"),
         F.min(F.col("good") & F.coalesce("same", F.lit(False))).alias("whole"),
     )
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1).to_pylist()
-            crcs = [join_crcs([(x["crc"] or 0, 4 * (x["n"] or 0)) for x in row]) for row in lists]
-            cols = [batch.column(0), pa.array(crcs, pa.int64()), pa.array([sum(x["n"] or 0 for x in row) for row in lists], pa.int64()), pa.array([len(r) for r in lists], pa.int32()), batch.column(2)]
+            lists = batch.column(1)
+            flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+            ends = ends - ends[0]
+            crcs = (flat & 0xFFFFFFFF).tolist()
+            sizes = flat >> 32
+            total = np.concatenate(([0], np.cumsum(sizes)))
+            pairs = list(zip(crcs, (4 * sizes).tolist(), strict=True))
+            whole = [join_crcs(pairs[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            cols = [batch.column(0), pa.array(whole, pa.int64()), pa.array(total[ends[1:]] - total[ends[:-1]]), pa.array(np.diff(ends).astype(np.int32)), batch.column(2)]
             yield pa.RecordBatch.from_arrays(cols, ["_start", "ids_crc32", "n_read", "n_chunks", "whole"])
 
     found = found.mapInArrow(joined, "_start long, ids_crc32 long, n_read long, n_chunks int, whole boolean")

@@ -9,37 +9,80 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
 #: Unicode white space beyond ASCII: a run of it may reach across a cut.
 RARE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-SPACED_PIECE = re.compile(rb"[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+")
-#: Pieces kept in a worker; later new ones are encoded each time they occur.
-CACHE_PIECES = 600_000
+#: A piece is white space and a word; ASCII letters and digits end before
+#: ASCII punctuation in every rule, so words are cut there and recur more.
+SPACED_PIECE = re.compile(rb"[\x20\x09-\x0d]*(?:[A-Za-z0-9]+(?=[.,;:!?|])|[^\x20\x09-\x0d]+)|[\x20\x09-\x0d]+")
+BARE_PIECE = re.compile(rb"[a-z0-9]+(?=[.,;:!?|])|[^\x20\x09-\x0d]+")
+FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+#: Pieces that a worker keeps, in each of two generations.
+GENERATION = 200_000
+
+
+class Pieces(dict):
+    """Ids by piece. A piece of the generation before moves over when it is
+    looked up; those that never are go with their generation."""
+
+    old: dict[bytes, bytes]
+
+    def __missing__(self, piece: bytes) -> bytes:
+        self[piece] = ids = self.old[piece]
+        return ids
+
+
+#: Words of Latin letters: one pre-token each, so those rules can be skipped.
+PLAIN = {True: re.compile("\x20?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+"), False: re.compile("[a-z\xdf-\xf6\xf8-\xff]+")}
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary:
+    printable Latin-1 bytes for themselves, the others from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in own else next(others)) for b in range(256)}
 
 
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids, special strings as
     ordinary text. ``spaced``: white space belongs to the ids (byte-level
-    vocabularies); otherwise the vocabulary drops it."""
+    vocabularies); otherwise the vocabulary drops it.
+
+    ``plain`` is the same tokenizer without its normalizer and pre-tokenizer,
+    for words that these leave whole."""
 
     def __init__(self, path: str, spaced: bool) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = self.plain.encode_special_tokens = True
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([])
+        self.plain.normalizer = normalizers.Sequence([])
+        self.letters = _byte_letters()
         self.spaced = spaced
-        self.cache: dict[bytes, bytes] = {}
-
-    def _ids(self, texts: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        self.cache = Pieces()
+        self.cache.old = {}
+
+    def _ids(self, pieces: list[bytes]) -> list[bytes]:
+        texts = [p.decode("utf-8", "replace") for p in pieces]
+        simple = PLAIN[self.spaced].fullmatch
+        easy = [i for i, t in enumerate(texts) if simple(t)]
+        hard = [i for i, t in enumerate(texts) if not simple(t)]
+        out = [b""] * len(pieces)
+        mapped = [pieces[i].decode("latin-1").translate(self.letters) for i in easy]
+        for own, codec, given in ((easy, self.plain, mapped), (hard, self.tokenizer, [texts[i] for i in hard])):
+            for i, found in zip(own, codec.encode_batch_fast(given, add_special_tokens=False), strict=True):
+                out[i] = np.array(found.ids, dtype="<u4").tobytes()
+        return out
 
     def _pieces(self, text: bytes) -> list[bytes]:
         if not self.spaced:
-            return text.split()
+            return BARE_PIECE.findall(text.translate(FOLD))
         if not text.isascii() and RARE_SPACE.search(text.decode("utf-8", "replace")):
             return [text]
         return SPACED_PIECE.findall(text)
@@ -47,28 +90,16 @@ class Encoder:
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text, null as empty, without an end id."""
         pieces = [self._pieces(t) if t else [] for t in texts]
-        known = self.cache
-        fresh = list({p for ps in pieces for p in ps if p not in known})
-        extra: dict[bytes, bytes] = {}
+        known, old = self.cache, self.cache.old
+        fresh = [p for p in set(chain.from_iterable(pieces)) if p not in known and p not in old]
         for i in range(0, len(fresh), 20_000):
             part = fresh[i : i + 20_000]
-            extra.update(zip(part, self._ids(part), strict=True))
-        room = CACHE_PIECES - len(known)
-        if not extra:
-            look = known.__getitem__
-        elif len(extra) <= room:
-            known.update(extra)
-            look = known.__getitem__
-        else:
-            for p in fresh:
-                if room <= 0:
-                    break
-                if len(p) <= 32:
-                    known[p] = extra[p]
-                    room -= 1
-            get, other = known.get, extra.__getitem__
-            look = lambda p: get(p) or other(p) if p in extra else known[p]
-        return [b"".join(map(look, ps)) for ps in pieces]
+            known.update(zip(part, self._ids(part), strict=True))
+        out = [b"".join(map(known.__getitem__, ps)) for ps in pieces]
+        if len(known) > GENERATION:
+            self.cache = Pieces()
+            self.cache.old = dict(known)
+        return out
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
