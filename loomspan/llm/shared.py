@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterator
@@ -64,6 +65,15 @@ def running_total(df: DataFrame, order: list[str], value: Column, out: str, grou
     return joined.withColumn(out, F.col("_before") + F.col("_inside")).select(*df.columns, out)
 
 
+def trim() -> None:
+    """Gives what a worker has freed back to the system: idle workers stay
+    beside the executor's heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if release := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        release(0)
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     """The UTF-8 bytes of a string column, without decoding them."""
     return batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary()).to_pylist()
@@ -84,3 +94,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, budget: int) -> Itera
             held += int(n)
         if first < batch.num_rows:
             yield batch.slice(first)
+    trim()

@@ -32,11 +32,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.shared import release, settle, slices, spread, texts_of
+from loomspan.llm.shared import release, settle, slices, spread, texts_of, trim
 
 #: Words of an anchor; text that a task handles at a time; windows that one
 #: automaton holds; numbers that anchors are dealt to tasks by.
-ANCHOR, CHUNK_BYTES, AUTOMATON, SHARDS = 5, 16 << 20, 20_000, 1 << 20
+ANCHOR, CHUNK_BYTES, AUTOMATON, SHARDS = 5, 4 << 20, 20_000, 1 << 20
 #: Letters of a word's code inside an automaton: few letters keep nodes small.
 LETTERS = "".join(map(chr, range(48, 112)))
 #: No smaller id is known; ids are 64-bit, so this is the greatest of them.
@@ -79,21 +79,22 @@ def segments(split: list[list[bytes]], window: int) -> tuple[np.ndarray, ...]:
 
 
 def _recurring(docs: DataFrame, window: int) -> DataFrame:
-    """``doc_id, found`` (int64 first windows): segments whose anchor occurs
-    in several documents."""
+    """``doc_id, found``: segments whose anchor occurs in several documents, as
+    int64 numbers of first window (lower 32 bits), number of windows (8 bits)
+    and shard."""
     tasks = spread(docs)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", CHUNK_BYTES):
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            doc, at, _, anchor = segments([(t or b"").split() for t in texts_of(batch, "text")], window)
+            doc, at, count, anchor = segments([(t or b"").split() for t in texts_of(batch, "text")], window)
             order = np.lexsort((ids[doc], anchor))
-            doc, at, anchor, owner = ids[doc][order], at[order], anchor[order], ids[doc][order]
+            doc, at, count, anchor = ids[doc][order], at[order], count[order], anchor[order]
             if not len(anchor):
                 continue
             head = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
             tail = np.append(head[1:], len(anchor)) - 1
-            own = owner[head] != owner[tail]
+            own = doc[head] != doc[tail]
             known = np.repeat(own, tail - head + 1)
             # A row for each other task to match: smallest and greatest id.
             # Segments of one document alone wait for the answer; those of
@@ -106,23 +107,24 @@ def _recurring(docs: DataFrame, window: int) -> DataFrame:
             send_to = np.where(hint == 2, np.abs(doc) % tasks, dealt)
             by = np.argsort(send_to, kind="stable")
             cut = np.flatnonzero(np.concatenate(([True], send_to[by][1:] != send_to[by][:-1])))
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], []]
             for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(by)], strict=True):
                 part = by[a:b]
-                row = (int(send_to[part[0]]), anchor[part].astype("<u8").tobytes(), doc[part].astype("<i8").tobytes(), at[part].astype("<i4").tobytes(), hint[part].tobytes())
+                row = (int(send_to[part[0]]), anchor[part].astype("<u8").tobytes(), doc[part].astype("<i8").tobytes(), at[part].astype("<i4").tobytes(), count[part].astype("i1").tobytes(), hint[part].tobytes())
                 for out, x in zip(cols, row, strict=True):
                     out.append(x)
-            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["shard", "anchor", "doc", "at", "hint"])
+            kinds = (pa.int32(), *[pa.binary()] * 5)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["shard", "anchor", "doc", "at", "count", "hint"])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
-                held.append(tuple(np.frombuffer(x, dtype=d) for x, d in zip(row, ("<u8", "<i8", "<i4", "i1"), strict=True)))
+                held.append(tuple(np.frombuffer(x, dtype=d) for x, d in zip(row, ("<u8", "<i8", "<i4", "i1", "i1"), strict=True)))
         if not held:
             return
-        anchor, doc, at, hint = (np.concatenate(x) for x in zip(*held, strict=True))
+        trim()
+        anchor, doc, at, count, hint = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
         order = np.lexsort((doc, anchor))
         order = order[hint[order] != 2]
@@ -139,11 +141,12 @@ def _recurring(docs: DataFrame, window: int) -> DataFrame:
             return
         cut = np.flatnonzero(np.concatenate(([True], doc[by][1:] != doc[by][:-1])))
         ends = np.append(cut[1:], len(by))
+        packed = at[by].astype(np.int64) | count[by].astype(np.int64) << 32 | (anchor[by] % np.uint64(SHARDS)).astype(np.int64) << 40
         for i in range(0, len(cut), 20_000):
-            rows = [at[by[a:b]].tobytes() for a, b in zip(cut[i : i + 20_000].tolist(), ends[i : i + 20_000].tolist(), strict=True)]
+            rows = [packed[a:b].tobytes() for a, b in zip(cut[i : i + 20_000].tolist(), ends[i : i + 20_000].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(doc[by[cut[i : i + 20_000]]]), pa.array(rows, pa.binary())], ["doc_id", "found"])
 
-    sent = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).mapInArrow(send, "shard int, anchor binary, doc binary, at binary, hint binary")
+    sent = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).mapInArrow(send, "shard int, anchor binary, doc binary, at binary, count binary, hint binary")
     return sent.repartition(tasks, "shard").mapInArrow(match, "doc_id long, found binary")
 
 
@@ -157,15 +160,14 @@ def _cut_segments(docs: DataFrame, recurring: DataFrame, window: int) -> DataFra
         for batch in slices(batches, "text", CHUNK_BYTES):
             keep = np.flatnonzero(batch.column(3).is_valid().to_numpy(zero_copy_only=False))
             batch = batch.take(pa.array(keep))
-            split = [(t or b"").split() for t in texts_of(batch, "text")]
-            ids, rows = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            doc, at, count, anchor = segments(split, window)
-            wanted = [set(np.frombuffer(b"".join(x), dtype="<i4").tolist()) for x in batch.column(3).to_pylist()]
+            ids, rows = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             met: dict[bytes, list] = {}
-            for d, i, c, a in zip(doc.tolist(), at.tolist(), count.tolist(), anchor.tolist(), strict=True):
-                if i in wanted[d]:
-                    text = b" ".join(split[d][i : i + c + window - 1])
-                    met.setdefault(text, [a % SHARDS, []])[1].append((ids[d], rows[d], i))
+            for doc, row, text, found in zip(ids, rows, texts_of(batch, "text"), batch.column(3).to_pylist(), strict=True):
+                split = (text or b"").split()
+                for x in np.unique(np.frombuffer(b"".join(found), dtype="<i8")).tolist():
+                    i = x & 0xFFFFFFFF
+                    words = b" ".join(split[i : i + (x >> 32 & 0xFF) + window - 1])
+                    met.setdefault(words, [x >> 40, []])[1].append((doc, row, i))
             names = ["task", "nth", "shard", "words", "low", "high", "seen"]
             kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
             cols: list[list] = [[] for _ in names]
@@ -211,82 +213,107 @@ def locate(rows: list[tuple[list[bytes], int, int]], window: int) -> list[np.nda
     texts = ["".join([codes.get(w) or code(w) for w in words]) for words, _, _ in rows]
     step, size = width, width * window
     met: dict[str, list[int]] = {}
-    for text, (words, low, high) in zip(texts, rows, strict=True):
+    windows: list[list[list[int]]] = []
+    for text, (_, low, high) in zip(texts, rows, strict=True):
+        mine = []
         for i in range(0, len(text) - size + 1, step):
-            known = met.get(phrase := text[i : i + size])
+            phrase = text[i : i + size]
+            known = met.get(phrase)
             if known is None:
-                met[phrase] = [low, high, -1]
-            else:
+                met[phrase] = known = [low, high, -1]
+            elif low < known[0] or high > known[1]:
                 known[0], known[1] = min(known[0], low), max(known[1], high)
+            mine.append(known)
+        windows.append(mine)
     # Phrases get automata in the order of the segments that hold them.
-    number, shelf = 0, []
-    for text in texts:
-        own = set()
-        for i in range(0, len(text) - size + 1, step):
-            entry = met[text[i : i + size]]
+    number, holders = 0, []
+    for j, mine in enumerate(windows):
+        for entry in mine:
             if entry[0] != entry[1]:
                 if entry[2] < 0:
                     entry[2] = number // AUTOMATON
                     number += 1
-                own.add(entry[2])
-        shelf.append(own)
+                    if entry[2] == len(holders):
+                        holders.append([])
+                if not holders[entry[2]] or holders[entry[2]][-1] != j:
+                    holders[entry[2]].append(j)
+    del windows
     out = [np.full(max(0, len(words) - window + 1), NONE, dtype=np.int64) for words, _, _ in rows]
     phrases: list[list[tuple[str, int]]] = [[] for _ in range(-(-number // AUTOMATON))]
     for phrase, (low, high, at) in met.items():
         if low != high:
             phrases[at].append((phrase, low))
-    holders: list[list[int]] = [[] for _ in phrases]
-    for j, own in enumerate(shelf):
-        for at in own:
-            holders[at].append(j)
     for held, streamed in zip(phrases, holders, strict=True):
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for phrase, low in held:
-            automaton.add_word(phrase, low)
+        for k, (phrase, _) in enumerate(held):
+            automaton.add_word(phrase, k)
         automaton.make_automaton()
         for j in streamed:
             mine = out[j]
-            for end, low in automaton.iter(texts[j]):
+            for end, k in automaton.iter(texts[j]):
                 start = end + 1 - size
                 if start % step == 0:
-                    mine[start // step] = low
+                    mine[start // step] = held[k][1]
     return out
 
 
 def _spans(cut: DataFrame, window: int) -> DataFrame:
-    """``doc_id, row_id, spans`` (first word, end; int32 pairs): the words to
-    remove, for rows that lose any."""
+    """``doc_id, row_id, spans`` (first word and end, in the upper and lower 32
+    bits of a number): the words to remove, for rows that lose any."""
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in batches:
             rows += zip(*(c.to_pylist() for c in batch.columns), strict=True)
         rows.sort(key=lambda r: r[2])
-        found = locate([(r[2].split(b" "), r[3], r[4]) for r in rows], window)
-        good = [(r[0], r[1], low.astype("<i8").tobytes()) for r, low in zip(rows, found, strict=True) if (low != NONE).any()]
+        distinct: list[tuple[list[bytes], int, int]] = []
+        place, last = [], None
+        for _, _, words, low, high in rows:
+            if words == last:
+                _, a, b = distinct[-1]
+                distinct[-1] = (distinct[-1][0], min(a, low), max(b, high))
+            else:
+                distinct.append((words.split(b" "), low, high))
+                last = words
+            place.append(len(distinct) - 1)
+        found = [x.astype("<i8").tobytes() if (x != NONE).any() else None for x in locate(distinct, window)]
+        good = [(r[0], r[1], found[k]) for r, k in zip(rows, place, strict=True) if found[k] is not None]
+        del distinct
+        del rows, found
+        trim()
         for i in range(0, len(good), 20_000):
             cols = zip(*good[i : i + 20_000], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["task", "nth", "lows"])
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[], [], []]
+            found = [np.empty((0, 4), dtype=np.int64)]
             for seen, lows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                lows = np.frombuffer(lows, dtype="<i8")
-                for doc, row, first in np.frombuffer(seen, dtype="<i8").reshape(-1, 3).tolist():
-                    at = np.flatnonzero(lows < doc)
+                seen, lows = np.frombuffer(seen, dtype="<i8").reshape(-1, 3), np.frombuffer(lows, dtype="<i8")
+                docs = seen[:, 0]
+                if lows.max() == lows.min():  # all windows start in the same first document
+                    some = seen[docs > lows[0]]
+                    found.append(np.column_stack((some, some[:, 2])) + (0, 0, 0, len(lows) + window - 1))
+                    continue
+                # the windows that a document loses change only where its id passes one of the lows
+                band = np.searchsorted(np.unique(lows), docs)
+                for k in np.unique(band).tolist():
+                    some = seen[band == k]
+                    at = np.flatnonzero(lows < some[0, 0])
                     if len(at):
-                        head = at[np.concatenate(([True], np.diff(at) > window))]
-                        tail = at[np.concatenate((np.diff(at) > window, [True]))]
-                        for out, x in zip(cols, (doc, row, (np.stack((head, tail + window), axis=1) + first).astype("<i4").tobytes()), strict=True):
-                            out.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "row_id", "spans"])
+                        gap = np.diff(at) > 1
+                        heads, tails = at[np.concatenate(([True], gap))], at[np.concatenate((gap, [True]))]
+                        found += [np.column_stack((some, some[:, 2])) + (0, 0, a, b + window) for a, b in zip(heads.tolist(), tails.tolist(), strict=True)]
+            cols = np.concatenate(found).T
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], ["doc_id", "row_id", "first", "past"])
 
     lows = cut.select("task", "nth", "words", "low", "high", "shard").repartition(4 * spread(cut), "shard").drop("shard").mapInArrow(shard, "task int, nth long, lows binary")
     lows = lows.select(F.col("task").alias("_task"), F.col("nth").alias("_nth"), "lows")
     back = cut.select("task", "nth", "seen").join(lows, (F.col("task") == F.col("_task")) & (F.col("nth") == F.col("_nth")))
-    spans = back.select("seen", "lows").mapInArrow(expand, "doc_id long, row_id long, spans binary")
-    return spans.groupBy("doc_id", "row_id").agg(F.collect_list("spans").alias("spans"))
+    spans = back.select("seen", "lows").mapInArrow(expand, "doc_id long, row_id long, first long, past long")
+    # one number a span keeps the lists flat: word numbers stay below 2^31
+    packed = F.shiftleft("first", 32).bitwiseOR(F.col("past"))
+    return spans.groupBy("doc_id", "row_id").agg(F.collect_list(packed).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -322,8 +349,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 n = len(words)
                 if spans:
                     stay = np.ones(n, dtype=bool)
-                    for a, b in np.frombuffer(b"".join(spans), dtype="<i4").reshape(-1, 2).tolist():
-                        stay[a:b] = False
+                    for span in spans:
+                        stay[span >> 32 : span & 0xFFFFFFFF] = False
                     words = [w for w, s in zip(words, stay.tolist(), strict=True) if s]
                 left = b" ".join(words)
                 for out, x in zip(cols, (n, n - len(words), hashlib.sha256(left).hexdigest(), left.decode()), strict=True):
