@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -25,9 +26,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files of finished queries."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets Spark's cleaner remove the shuffle files of finished queries. What
+    the first collection frees holds on to more, so there are two."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:

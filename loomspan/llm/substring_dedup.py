@@ -36,9 +36,9 @@ from loomspan.llm.shared import release, settle, slices, spread, texts_of, trim
 
 #: Words of an anchor; text that a task handles at a time; windows that one
 #: automaton holds; numbers that anchors are dealt to tasks by.
-ANCHOR, CHUNK_BYTES, AUTOMATON, SHARDS = 5, 4 << 20, 20_000, 1 << 20
-#: Letters of a word's code inside an automaton: few letters keep nodes small.
-LETTERS = "".join(map(chr, range(48, 112)))
+ANCHOR, CHUNK_BYTES, AUTOMATON, SHARDS = 5, 8 << 20, 20_000, 1 << 20
+#: Letters of a word's code inside an automaton: two do for most shards.
+LETTERS = "".join(map(chr, range(256, 512)))
 #: No smaller id is known; ids are 64-bit, so this is the greatest of them.
 NONE = np.iinfo(np.int64).max
 
@@ -79,8 +79,8 @@ def segments(split: list[list[bytes]], window: int) -> tuple[np.ndarray, ...]:
 
 
 def _recurring(docs: DataFrame, window: int) -> DataFrame:
-    """``doc_id, found``: segments whose anchor occurs in several documents, as
-    int64 numbers of first window (lower 32 bits), number of windows (8 bits)
+    """``doc_id, found``: the segments whose anchor occurs in several documents,
+    each a number of first window (lower 32 bits), number of windows (8 bits)
     and shard."""
     tasks = spread(docs)
 
@@ -136,18 +136,12 @@ def _recurring(docs: DataFrame, window: int) -> DataFrame:
             told = np.maximum.reduceat((hint[order] == 3).astype(np.int8), head) > 0
             several = np.repeat((d[head] != d[tail]) | told, tail - head + 1)
             found = np.concatenate((found, order[several]))
-        by = found[np.argsort(doc[found], kind="stable")]
-        if not len(by):
-            return
-        cut = np.flatnonzero(np.concatenate(([True], doc[by][1:] != doc[by][:-1])))
-        ends = np.append(cut[1:], len(by))
-        packed = at[by].astype(np.int64) | count[by].astype(np.int64) << 32 | (anchor[by] % np.uint64(SHARDS)).astype(np.int64) << 40
-        for i in range(0, len(cut), 20_000):
-            rows = [packed[a:b].tobytes() for a, b in zip(cut[i : i + 20_000].tolist(), ends[i : i + 20_000].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[by[cut[i : i + 20_000]]]), pa.array(rows, pa.binary())], ["doc_id", "found"])
+        packed = at[found].astype(np.int64) | count[found].astype(np.int64) << 32 | (anchor[found] % np.uint64(SHARDS)).astype(np.int64) << 40
+        for i in range(0, len(found), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(doc[found[i : i + 100_000]]), pa.array(packed[i : i + 100_000])], ["doc_id", "found"])
 
     sent = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).mapInArrow(send, "shard int, anchor binary, doc binary, at binary, count binary, hint binary")
-    return sent.repartition(tasks, "shard").mapInArrow(match, "doc_id long, found binary")
+    return sent.repartition(tasks, "shard").mapInArrow(match, "doc_id long, found long")
 
 
 def _cut_segments(docs: DataFrame, recurring: DataFrame, window: int) -> DataFrame:
@@ -164,7 +158,7 @@ def _cut_segments(docs: DataFrame, recurring: DataFrame, window: int) -> DataFra
             met: dict[bytes, list] = {}
             for doc, row, text, found in zip(ids, rows, texts_of(batch, "text"), batch.column(3).to_pylist(), strict=True):
                 split = (text or b"").split()
-                for x in np.unique(np.frombuffer(b"".join(found), dtype="<i8")).tolist():
+                for x in sorted(set(found)):
                     i = x & 0xFFFFFFFF
                     words = b" ".join(split[i : i + (x >> 32 & 0xFF) + window - 1])
                     met.setdefault(words, [x >> 40, []])[1].append((doc, row, i))
@@ -286,25 +280,20 @@ def _spans(cut: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["task", "nth", "lows"])
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.empty((0, 4), dtype=np.int64)]
-            for seen, lows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                seen, lows = np.frombuffer(seen, dtype="<i8").reshape(-1, 3), np.frombuffer(lows, dtype="<i8")
-                docs = seen[:, 0]
-                if lows.max() == lows.min():  # all windows start in the same first document
-                    some = seen[docs > lows[0]]
-                    found.append(np.column_stack((some, some[:, 2])) + (0, 0, 0, len(lows) + window - 1))
-                    continue
-                # the windows that a document loses change only where its id passes one of the lows
-                band = np.searchsorted(np.unique(lows), docs)
-                for k in np.unique(band).tolist():
-                    some = seen[band == k]
-                    at = np.flatnonzero(lows < some[0, 0])
-                    if len(at):
-                        gap = np.diff(at) > 1
-                        heads, tails = at[np.concatenate(([True], gap))], at[np.concatenate((gap, [True]))]
-                        found += [np.column_stack((some, some[:, 2])) + (0, 0, a, b + window) for a, b in zip(heads.tolist(), tails.tolist(), strict=True)]
-            cols = np.concatenate(found).T
+        for batch in slices(batches, "seen", 2 << 20):
+            seen = [np.frombuffer(x, dtype="<i8").reshape(-1, 3) for x in batch.column(0).to_pylist()]
+            lows = [np.frombuffer(x, dtype="<i8") for x in batch.column(1).to_pylist()]
+            sizes = np.array([len(x) for x in lows])
+            table = np.full((len(lows), int(sizes.max()) + 2), NONE, dtype=np.int64)  # a column without windows on either side
+            nth = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            table[np.repeat(np.arange(len(lows)), sizes), nth + 1] = np.concatenate(lows)
+            whole = np.concatenate(seen)
+            gone = table[np.repeat(np.arange(len(seen)), [len(x) for x in seen])] < whole[:, :1]
+            # runs of windows that go; row by row the k-th head belongs to the k-th tail
+            row, head = np.nonzero(gone[:, 1:] & ~gone[:, :-1])
+            _, tail = np.nonzero(gone[:, :-1] & ~gone[:, 1:])
+            first = whole[row, 2]
+            cols = (whole[row, 0], whole[row, 1], first + head, first + tail - 1 + window)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], ["doc_id", "row_id", "first", "past"])
 
     lows = cut.select("task", "nth", "words", "low", "high", "shard").repartition(4 * spread(cut), "shard").drop("shard").mapInArrow(shard, "task int, nth long, lows binary")
