@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspan.llm import mixing, packing, simhash, substring_dedup
+from loomspan.llm import mixing, near_copies, packing, substring_dedup
 from loomspan.llm import toxicity as toxicity_chain
 from loomspan.llm.queries import tokenizer_path, toxicity_categories, with_quality
 from loomspan.llm.shared import settle
@@ -29,8 +29,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the smallest doc_id."""
-    found = simhash.near_duplicates(docs)
+    """One document of each near-duplicate group stays: the smallest doc_id.
+    Groups are linked by runs of five words at a similarity of 0.8 or more."""
+    found = near_copies.near_copies(docs)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
