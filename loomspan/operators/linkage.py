@@ -150,6 +150,32 @@ def level(value: Column, cuts: list[float]) -> Column:
     return F.when(value.isNull(), -1).otherwise(total)
 
 
+def random_pairs(df: DataFrame, key: str, times: int = 16, crowd: int = 64) -> DataFrame:
+    """``a, b``: pairs of ``df``'s rows as structs, neighbours by hashes of the
+    key, about ``times`` for each row. Rows are dealt to buckets of some
+    ``crowd`` by hash, anew each time, so no task sees more."""
+    buckets = max(1, df.count() // crowd)
+    a = F.struct(*df.columns).alias("a")
+    rows = df.select(F.col(key).alias("_key"), a, F.explode(F.sequence(F.lit(1), F.lit(times))).alias("_time"))
+    rows = rows.withColumn("_hash", F.xxhash64("_key", "_time")).withColumn("_bucket", F.pmod("_hash", F.lit(buckets)))
+    order = Window.partitionBy("_time", "_bucket").orderBy(F.xxhash64("_hash", F.lit("order")), "_key")
+    return rows.withColumn("b", F.lead("a").over(order)).where("b IS NOT NULL").select("a", "b")
+
+
+def level_shares(vectors: DataFrame, levels: Mapping[str, int]) -> dict[str, list[float]]:
+    """The share of each level among the pairs that have one; one pair is
+    added to each level, so that none is zero."""
+    row = vectors.agg(*[F.count_if(F.col(k) == i).alias(f"{k}_{i}") for k, n in levels.items() for i in range(n)]).first()
+    seen = {k: [row[f"{k}_{i}"] + 1 for i in range(n)] for k, n in levels.items()}
+    return {k: [x / sum(v) for x in v] for k, v in seen.items()}
+
+
+def rule_prior(vectors: DataFrame, rule: Column, recall: float = 0.7) -> float:
+    """The share of matches that a deterministic rule of this recall implies."""
+    hits, total = vectors.agg(F.count_if(rule), F.count("*")).first()
+    return min(0.99, max(hits, 1) / recall / total) if total else 0.5
+
+
 def fit_fellegi_sunter(vectors: DataFrame, levels: Mapping[str, int], prior: float, random_u: Mapping[str, list[float]], rounds: int = 20) -> dict[str, list[float]]:
     """The m probabilities of each comparison by expectation-maximisation.
 

@@ -236,15 +236,19 @@ def lsh_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 @register("fellegi_sunter")
 def fellegi_sunter(spark: SparkSession, d: str) -> DataFrame:
-    """Match weights of customer pairs in a block; u from random pairs, m by EM."""
+    """Match weights of customer pairs in a block; u from hashed random pairs of
+    the whole table, the prior from pairs that agree on all, m by EM."""
     c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
     e = c.select(F.col("c_custkey").alias("o"), F.col("c_nationkey").alias("on"), F.col("c_mktsegment").alias("os"), F.col("c_acctbal").alias("ob"))
     near = c.join(e, (F.col("c_nationkey") == F.col("on")) & (F.floor(F.col("c_acctbal") / 500) == F.floor(F.col("ob") / 500)) & (F.col("c_custkey") < F.col("o")))
     seg = (F.col("c_mktsegment") == F.col("os")).cast("int")
     bal = L.level(-F.abs(F.col("c_acctbal") - F.col("ob")), [-200.0, -50.0])
+    levels = {"segment": 2, "balance": 3}
     vectors = near.select("c_custkey", F.col("o").alias("other"), seg.alias("segment"), bal.alias("balance"))
-    u = {"segment": [0.8, 0.2], "balance": [0.6, 0.25, 0.15]}
-    m = L.fit_fellegi_sunter(vectors, {"segment": 2, "balance": 3}, 0.05, u)
+    pairs = L.random_pairs(c, "c_custkey").select("a.c_mktsegment", "a.c_acctbal", F.col("b.c_mktsegment").alias("os"), F.col("b.c_acctbal").alias("ob"))
+    u = L.level_shares(pairs.select(seg.alias("segment"), bal.alias("balance")), levels)
+    prior = L.rule_prior(vectors, (F.col("segment") == 1) & (F.col("balance") == 2))
+    m = L.fit_fellegi_sunter(vectors, levels, prior, u)
     return vectors.withColumn("weight", F.round(L.match_weight(m, u), 6))
 
 
