@@ -176,7 +176,18 @@ s AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
 r(node, reach) AS (SELECT x, x FROM s UNION SELECT r.node, s.y FROM r JOIN s ON s.x = r.reach)
 SELECT node, min(reach) AS component FROM r GROUP BY 1""")
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
-    l = table(spark, d, "lineitem").where("l_partkey % 20 = 0").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))  # noqa: E741
+    """As its SQL: the links of one part in twenty only."""
+    return _customers_linked(spark, d, table(spark, d, "lineitem").where("l_partkey % 20 = 0"))
+
+
+@register("connected_components_all")
+def connected_components_all(spark: SparkSession, d: str) -> DataFrame:
+    """The links of all parts; too many for the recursive SQL."""
+    return _customers_linked(spark, d, table(spark, d, "lineitem"))
+
+
+def _customers_linked(spark: SparkSession, d: str, lines: DataFrame) -> DataFrame:
+    l = lines.join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))  # noqa: E741
     key = l.select("l_partkey", "l_suppkey", "o_custkey").distinct()
     # a star to the smallest customer of a key links all of them
     hub = key.withColumn("hub", F.min("o_custkey").over(Window.partitionBy("l_partkey", "l_suppkey")))
