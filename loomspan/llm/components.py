@@ -1,42 +1,13 @@
-"""Connected components by alternating large-star and small-star rounds."""
+"""Connected components, with the column names that the operators use."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from loomspan.llm.shared import release, settle
-
-MAX_ROUNDS = 60
+from loomspan.operators.graph import components
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges`` (``a``, ``b``, any order);
-    root is the component's smallest node. Nulls and loops are ignored; no
-    edges give no rows.
-
-    A round is joins and partial minimums only: no node's neighbours are
-    gathered in one row, and Spark may split the join of a crowded node. Each
-    round is written to the shared folder.
-    """
-    spark = edges.sparkSession
-    edges = edges.where(F.col("a") != F.col("b"))
-    edges = settle(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    size, last = edges.agg(F.count("*"), F.sum(F.hash("b").cast("long"))).first(), None
-    for _ in range(MAX_ROUNDS):
-        if size == last or not size[0]:
-            break
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where(F.col("b") > F.col("a")).join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where(F.col("a") != F.col("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = small.unionByName(least.select("a", F.col("m").alias("b"))).where(F.col("a") != F.col("b")).distinct()
-        edges = settle(edges, "edges")
-        last, size = size, edges.agg(F.count("*"), F.sum(F.hash("b").cast("long"))).first()
-        release(spark)
-    else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
-    roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    root is the component's smallest node."""
+    return components(edges, "a", "b").withColumnRenamed("component", "root")

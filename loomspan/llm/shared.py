@@ -1,52 +1,37 @@
-"""Shared-folder tables, global running totals and Arrow helpers."""
+"""Global running totals and Arrow helpers."""
 
 from __future__ import annotations
 
 import ctypes
 import gc
-import time
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Used only where the cluster names no shared folder, as in tests on one machine.
-LOCAL_SCRATCH = "/tmp/checkpoints/loomspan"
+from loomspan.storage import settle
 
 #: A word: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that ``spark.checkpoint.dir`` names."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files of finished queries. What
-    the first collection frees holds on to more, so there are two."""
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.3)
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: lineage ends here
-    and lost executors cost no recomputation of what came before."""
-    spark, path, schema = df.sparkSession, scratch_path(df.sparkSession, name), df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def spread(df: DataFrame) -> int:
     """Partitions for a shuffle of about the size of ``df``'s own input."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
 
 
+def kept_names(keep: tuple[str, ...], own: list[str]) -> list[str]:
+    """The names of kept columns, apart from an operator's own."""
+    taken, out = {c.lower() for c in own}, []
+    for name in keep:
+        while name.lower() in taken:
+            name += "_in"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def running_total(df: DataFrame, order: list[str], value: Column, out: str, group: list[str] | None = None) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows before this one, in
     ``order``, over all rows or within each ``group``.
