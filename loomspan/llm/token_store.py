@@ -27,8 +27,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm.shared import release, running_total, scratch_path, slices, spread, texts_of
+from loomspan.llm.shared import slices, spread, texts_of
 from loomspan.llm.tokens import encoder
+from loomspan.operators.ranges import running_total
+from loomspan.storage import scratch_path, shuffles_removed
 
 END_ID = 0
 #: Ids that the rolling hash sees, the mask that a cut needs (one cut in 512
@@ -41,10 +43,13 @@ def marks(ids: np.ndarray) -> np.ndarray:
     """Places where the rolling hash of the last ``WINDOW`` ids asks for a cut."""
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(FACTOR)
     mixed ^= mixed >> np.uint64(29)
-    powers = np.cumprod(np.full(WINDOW, 0xBF58476D1CE4E5B9, dtype=np.uint64))
-    rolled = np.zeros(len(ids), dtype=np.uint64)
-    for k in range(min(WINDOW, len(ids))):
-        rolled[k:] += mixed[: len(ids) - k] * powers[k]
+    power, span = 0xBF58476D1CE4E5B9, 1
+    rolled = mixed * np.uint64(power)
+    while span < WINDOW:  # the hash of twice as many ids, from those of the halves
+        late = rolled[:-span] * np.uint64(power)
+        rolled = rolled.copy()
+        rolled[span:] += late
+        power, span = power * power % (1 << 64), 2 * span
     return np.flatnonzero((rolled >> np.uint64(40)) & np.uint64(MASK) == 0) + 1
 
 
@@ -183,8 +188,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
                 last = address
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    dealt.mapInArrow(once, dealt.schema).write.partitionBy("kind").option("compression", "uncompressed").parquet(f"{path}/raw")
-    release(spark)
+    with shuffles_removed(spark):
+        dealt.mapInArrow(once, dealt.schema).write.partitionBy("kind").option("compression", "uncompressed").parquet(f"{path}/raw")
     schema = "doc_id long, n_tokens long, parts binary"
     recipes = spark.read.schema(f"{schema}, kind string").parquet(f"{path}/raw").where(F.col("kind") == "recipe").drop("kind")
     recipes = recipes.withColumn("row_id", F.xxhash64("parts"))
@@ -199,8 +204,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
     total = total.select("doc_id", "row_id", "start", "n_tokens", "parts")
     schema = "doc_id long, row_id long, start long, n_tokens long, parts binary, root binary"
     ordered = total.repartitionByRange(spread(docs), "start").sortWithinPartitions("start").mapInArrow(rooted, schema)
-    ordered.write.option("compression", "uncompressed").parquet(f"{path}/recipes")
-    _manifests(spark.read.schema(schema).parquet(f"{path}/recipes")).write.parquet(f"{path}/manifests")
+    with shuffles_removed(spark):
+        ordered.write.option("compression", "uncompressed").parquet(f"{path}/recipes")
+        _manifests(spark.read.schema(schema).parquet(f"{path}/recipes")).write.parquet(f"{path}/manifests")
 
 
 def _chunks(spark: SparkSession, path: str) -> DataFrame:
