@@ -151,3 +151,9 @@ def correct_words(df: DataFrame, key: str, text: str, fixes: DataFrame) -> DataF
     fixed = fixed.select(key, F.struct("_at", F.coalesce("fixed", "_word").alias("w")).alias("_t"))
     out = fixed.groupBy(key).agg(F.array_sort(F.collect_list("_t")).alias("_ts"))
     return out.select(key, F.array_join(F.transform("_ts", lambda t: t["w"]), " ").alias("corrected"))
+
+
+def replace_first(text: Column, pattern: str, other: str) -> Column:
+    """The first match replaced, the others left: what a replace does where
+    all matches aren't asked for. ``pattern`` must have no groups."""
+    return F.regexp_replace(text, f"(?s)^(.*?)(?:{pattern})", "$1" + other.replace("\\", "\\\\").replace("$", "\\$"))

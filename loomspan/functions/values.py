@@ -42,3 +42,26 @@ def year_share(start: Column, end: Column, year: Column) -> Column:
     first, last = F.make_date(year, F.lit(1), F.lit(1)), F.make_date(year, F.lit(12), F.lit(31))
     days = F.datediff(F.least(end, last), F.greatest(start, first)) + 1
     return F.greatest(days, F.lit(0)) / (F.datediff(last, first) + 1)
+
+
+def cut(value: Column, edges: list[float]) -> Column:
+    """The number of the bin (left open, right closed) that holds a value;
+    null outside all."""
+    out = F.lit(None).cast("int")
+    for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+        out = F.when((value > a) & (value <= b), i).otherwise(out)
+    return out
+
+
+def list_product(values: Column) -> Column:
+    """The product of a list's numbers, nulls left out; null for none."""
+    known = F.filter(values, lambda x: x.isNotNull())
+    return F.when(F.size(known) > 0, F.aggregate(known, F.lit(1.0), lambda s, x: s * x))
+
+
+def list_median(values: Column) -> Column:
+    """The middle of a list's numbers, or the mean of both middles."""
+    s = F.array_sort(F.filter(values, lambda x: x.isNotNull()))
+    n = F.size(s)
+    at = lambda i: F.get(s, i.cast("int"))
+    return (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2

@@ -24,7 +24,7 @@ def gram(df: DataFrame, columns: list[str], weight: str | None = None) -> np.nda
     return out
 
 
-def drop_singletons(df: DataFrame, effects: list[str], rounds: int = 10) -> DataFrame:
+def drop_singletons(df: DataFrame, effects: list[str], rounds: int = 100) -> DataFrame:
     """Without rows that are alone in a level of an effect, until none is."""
     for _ in range(rounds):
         for g in effects:
@@ -35,7 +35,7 @@ def drop_singletons(df: DataFrame, effects: list[str], rounds: int = 10) -> Data
         if not df.where("_alone").take(1):
             return df.drop("_alone")
         df = df.where("NOT _alone").drop("_alone")
-    return df
+    raise RuntimeError(f"rows alone in an effect are left after {rounds} rounds")
 
 
 def absorb(df: DataFrame, columns: list[str], effects: list[str], weight: str | None = None, rounds: int = 200, tol: float = 1e-10) -> DataFrame:
@@ -62,7 +62,7 @@ def absorb(df: DataFrame, columns: list[str], effects: list[str], weight: str |
         df = settle(df, "absorbed")
         if turn and (df.agg(F.max("_moved")).first()[0] or 0.0) < tol:
             return df.drop("_moved")
-    return df.drop("_moved")
+    raise RuntimeError(f"the effects' means did not settle in {rounds} rounds")
 
 
 @dataclass
@@ -176,6 +176,8 @@ def ppml(df: DataFrame, y: str, xs: list[str], effect: str, cluster: str, rounds
         beta = beta + step
         if np.abs(step).max() < tol:
             break
+    else:
+        raise RuntimeError(f"the Newton steps did not settle in {rounds} rounds")
     meat, g, n = _meat(weighted(), ds, F.col("_u"), cluster, None)
     se = np.sqrt(np.diag(bread @ meat @ bread) * g / max(1, g - 1))
     return Fit(xs, beta, se, n, g)

@@ -46,6 +46,20 @@ def block_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     return a.join(b, "token").select(left_key, right_key).distinct()
 
 
+def rare_pairs(tokens: DataFrame, frequency: DataFrame, key: str, token: str, quantile: float) -> DataFrame:
+    """``a, b, token``: pairs of keys (a < b) that share a token which is rare,
+    that is, whose frequency is at most this quantile of all. The quantile is
+    taken from the histogram of frequencies, whose rows are few."""
+    sizes = frequency.groupBy("df").agg(F.count("*").alias("n"))
+    order = Window.orderBy("df")
+    sizes = sizes.withColumn("_at", F.sum("n").over(order)).withColumn("_all", F.sum("n").over(Window.partitionBy()))
+    most = sizes.where(F.col("_at") >= F.ceil(F.col("_all") * quantile)).agg(F.min("df").alias("most"))
+    rare = frequency.join(F.broadcast(most), F.col("df") <= F.col("most")).select(token)  # one row
+    a = tokens.join(rare, token)
+    b = a.select(F.col(key).alias("b"), F.col(token))
+    return a.select(F.col(key).alias("a"), F.col(token)).join(b, token).where("a < b").select("a", "b", token)
+
+
 def subset_score(pairs: DataFrame, left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """Adds ``shared`` and ``score``: the weight of shared tokens over the
     smaller side's. ``left`` and ``right`` have key, token, weight."""
@@ -186,7 +200,7 @@ def fit_fellegi_sunter(vectors: DataFrame, levels: Mapping[str, int], prior: flo
     names = list(levels)
     bound = 1
     for n in levels.values():
-        bound *= n + 1
+        bound *= n + 2  # the levels, -1 and null
     patterns = vectors.groupBy(*names).agg(F.count("*").alias("_n")).limit(bound).collect()
     m = {k: [(i + 1) / sum(range(1, n + 1)) for i in range(n)] for k, n in levels.items()}
     share = prior

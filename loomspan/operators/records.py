@@ -17,10 +17,11 @@ def cascade(sources: list[tuple[DataFrame, int]], key: str, value: str) -> DataF
     return rows.groupBy(key).agg(F.max_by(value, "priority").alias(value), F.max("priority").alias("priority"))
 
 
-def overlapping_neighbours(df: DataFrame, keys: list[str], start: str, end: str, slack: int) -> DataFrame:
+def overlapping_neighbours(df: DataFrame, keys: list[str], start: str, end: str, slack: int, ties: list[str] | None = None) -> DataFrame:
     """Adds ``overlaps``: whether a spell starts before the furthest end so
-    far of its key's earlier spells, plus ``slack``; a sweep, not a self-join."""
-    order = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
+    far of its key's earlier spells, plus ``slack``; a sweep, not a self-join.
+    Spells of one start and end follow each other by ``ties``."""
+    order = Window.partitionBy(*keys).orderBy(start, end, *(ties or [])).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("overlaps", F.coalesce(F.col(start) <= F.max(end).over(order) + slack, F.lit(False)))
 
 

@@ -100,3 +100,18 @@ def join_leave(df: DataFrame, member: str, snapshot: str) -> DataFrame:
     joins = runs.where(came & (F.col("snapshot") > F.col("_first"))).select("member", "snapshot", F.lit("join").alias("event"))
     leaves = runs.where(went & (F.col("snapshot") < F.col("_last"))).select("member", (F.col("snapshot") + 1).alias("snapshot"), F.lit("leave").alias("event"))
     return joins.unionByName(leaves)
+
+
+def fill(df: DataFrame, keys: list[str], order: list[str], column: str, out: str, forward: bool = True) -> DataFrame:
+    """Adds ``out``: nulls as the last known value before (or, not
+    ``forward``, the next one after) in each key's order."""
+    window = Window.partitionBy(*keys).orderBy(*order)
+    value = F.last(column, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0)) if forward else F.first(column, ignorenulls=True).over(window.rowsBetween(0, Window.unboundedFollowing))
+    return df.withColumn(out, value)
+
+
+def dummies(df: DataFrame, column: str, values: list[str], prefix: str) -> DataFrame:
+    """A 0/1 column for each of the values in place of ``column``; all 0 for
+    null and for others."""
+    flags = [F.coalesce((F.col(column) == v).cast("int"), F.lit(0)).alias(f"{prefix}_{v}") for v in values]
+    return df.select(*[c for c in df.columns if c != column], *flags)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspan.plans import estimation, linkage, panels, people, relational, texts  # noqa: F401
+from loomspan.plans import candidates, census, estimation, linkage, panels, people, relational, texts  # noqa: F401
 from loomspan.plans.registry import QUERIES, SQL, Query
 
 FLAGSHIP = "shift_share_z"

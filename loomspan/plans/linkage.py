@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomspan.functions.text import words
 from loomspan.operators import assignment as A
 from loomspan.operators import linkage as L
 from loomspan.operators.graph import components
+from loomspan.operators.neighbours import cosine_top_k
 from loomspan.plans.registry import register, table
 
 _CANDIDATES = """cand AS (SELECT l_partkey AS part, l_suppkey AS supp, count(*) AS n, avg(l_discount) AS disc, sum(l_quantity) AS qty,
@@ -42,39 +44,56 @@ def rarest_tokens(spark: SparkSession, d: str) -> DataFrame:
     return L.rarest(t, L.document_frequency(t, "p_partkey"), "p_partkey").select("p_partkey", "token", "df", "nth")
 
 
-_WORDS = r"""w AS (SELECT DISTINCT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS token FROM documents WHERE lang = 'en'),
-wf AS (SELECT token, count(*) AS df FROM w GROUP BY 1)"""
+_WORDS = r"""cls AS (SELECT min(doc_id) AS rep, w FROM (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> ''))) AS w FROM documents) GROUP BY w),
+w AS (SELECT rep, unnest(w) AS token FROM cls), wf AS (SELECT token, count(*) AS df FROM w GROUP BY 1),
+cut AS (SELECT quantile_disc(df, 0.9) AS most FROM wf WHERE df >= 2)"""
 
 
-def _words(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    w = L.token_table(table(spark, d, "documents").where("lang = 'en'"), "doc_id", "text")
-    return w, L.document_frequency(w, "doc_id")
-
-
-@register("rare_token_block", f"WITH {_WORDS} SELECT a.doc_id AS a_doc, b.doc_id AS b_doc, count(*) AS shared FROM w a JOIN wf USING (token) JOIN w b USING (token) WHERE df BETWEEN 2 AND 4 AND a.doc_id < b.doc_id GROUP BY 1, 2 HAVING count(*) >= 2")
+@register("rare_token_block", f"""WITH {_WORDS}, d AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''))) AS w FROM documents)
+SELECT a.rep AS a_doc, b.rep AS b_doc, count(*) AS shared FROM w a JOIN wf USING (token) JOIN w b USING (token), cut WHERE df BETWEEN 2 AND most AND a.rep < b.rep GROUP BY 1, 2 HAVING count(*) >= 2
+UNION ALL SELECT rep, doc_id, CAST(len(d.w) AS BIGINT) FROM d JOIN cls ON d.w = cls.w WHERE doc_id <> rep""")
 def rare_token_block(spark: SparkSession, d: str) -> DataFrame:
-    w, f = _words(spark, d)
-    rare = w.join(f.where("df BETWEEN 2 AND 4"), "token")
-    # a token of four documents at most: the group is an array, its pairs at most six
-    groups = rare.groupBy("token").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
-    pairs = F.flatten(F.transform("ids", lambda a, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda b: F.struct(a.alias("a_doc"), b.alias("b_doc")))))
-    pairs = groups.select(F.explode(pairs).alias("p")).select("p.a_doc", "p.b_doc")
-    return pairs.groupBy("a_doc", "b_doc").agg(F.count("*").alias("shared")).where("shared >= 2")
-
-
-@register("subset_token_score", f"""WITH {_TOKENS}, t AS (SELECT p_partkey, token, 1 / log10(1 + df) AS weight FROM tok JOIN dfr USING (token)),
-s AS (SELECT a.p_partkey AS a_key, b.p_partkey AS b_key, count(*) AS shared, sum(a.weight) AS w FROM t a JOIN t b USING (token)
-  WHERE a.p_partkey < b.p_partkey AND a.p_partkey % 20 = 0 AND b.p_partkey % 20 = 1 GROUP BY 1, 2),
+    """Documents that share two rare tokens, a token being rare up to the 0.9
+    quantile of the frequencies. Documents of one token set are one class, so
+    copies make no token common; each is linked to its class's first."""
+    docs = table(spark, d, "documents").select("doc_id", F.array_sort(F.array_distinct(words(F.lower("text")))).alias("w")).where("w IS NOT NULL")
+    named = docs.withColumn("set", F.sha2(F.array_join("w", " "), 256))
+    first = named.groupBy("set").agg(F.min("doc_id").alias("rep"))
+    keyed = named.join(first, "set")
+    w = keyed.where("doc_id = rep").select("rep", F.explode("w").alias("token"))
+    frequency = L.document_frequency(w, "rep").where("df >= 2")
+    pairs = L.rare_pairs(w, frequency, "rep", "token", 0.9).groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared >= 2")
+    members = keyed.where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.size("w").cast("long").alias("shared"))
+    return pairs.unionByName(members).select(F.col("a").alias("a_doc"), F.col("b").alias("b_doc"), "shared")
+
+
+_CLASSES = """sets AS (SELECT p_partkey, string_agg(token, ' ' ORDER BY token) AS w, CAST(count(*) AS BIGINT) AS n FROM tok GROUP BY 1),
+cls AS (SELECT w, min(p_partkey) AS rep FROM sets GROUP BY 1),
+rare AS (SELECT rep, string_agg(token, ' ' ORDER BY df, token) AS block FROM (SELECT rep, token, df FROM cls JOIN tok ON rep = p_partkey JOIN dfr USING (token) QUALIFY row_number() OVER (PARTITION BY rep ORDER BY df, token) <= 2) GROUP BY 1)"""
+
+
+@register("subset_token_score", f"""WITH {_TOKENS}, {_CLASSES}, t AS (SELECT p_partkey, token, 1 / log10(1 + df) AS weight FROM tok JOIN dfr USING (token)),
+p AS (SELECT a.rep AS a_key, b.rep AS b_key FROM rare a JOIN rare b USING (block) WHERE a.rep < b.rep),
+s AS (SELECT a_key, b_key, count(*) AS shared, sum(a.weight) AS w FROM p JOIN t a ON a.p_partkey = a_key JOIN t b ON b.p_partkey = b_key AND a.token = b.token GROUP BY 1, 2),
 z AS (SELECT p_partkey AS k, sum(weight) AS total FROM t GROUP BY 1)
-SELECT a_key, b_key, shared, round(w / least(x.total, y.total), 6) AS score FROM s JOIN z x ON a_key = x.k JOIN z y ON b_key = y.k""")
+SELECT a_key, b_key, shared, round(w / least(x.total, y.total), 6) AS score FROM s JOIN z x ON a_key = x.k JOIN z y ON b_key = y.k
+UNION ALL SELECT rep, p_partkey, n, 1.0 FROM sets JOIN cls USING (w) WHERE p_partkey <> rep""")
 def subset_token_score(spark: SparkSession, d: str) -> DataFrame:
+    """All parts against all parts of the same two rarest tokens. Parts of one
+    token set are a class: its first stands for it, the others are linked to
+    that one with the full score."""
     t = _tokens(spark, d)
-    t = t.join(L.document_frequency(t, "p_partkey").select("token", L.idf_log10(F.col("df")).alias("weight")), "token")
-    a = t.where("p_partkey % 20 = 0").withColumnRenamed("p_partkey", "a_key")
-    b = t.where("p_partkey % 20 = 1").withColumnRenamed("p_partkey", "b_key")
-    pairs = a.select("a_key", "token").join(b.select("b_key", "token"), "token").where("a_key < b_key").select("a_key", "b_key").distinct()
-    s = L.subset_score(pairs, a, b, "a_key", "b_key")
-    return s.select("a_key", "b_key", "shared", F.round("score", 6).alias("score"))
+    f = L.document_frequency(t, "p_partkey")
+    sets = t.groupBy("p_partkey").agg(F.array_join(F.array_sort(F.collect_list("token")), " ").alias("w"), F.count("*").alias("n"))
+    sets = sets.join(sets.groupBy("w").agg(F.min("p_partkey").alias("rep")), "w")
+    t = t.join(sets.where("p_partkey = rep").select("p_partkey"), "p_partkey")
+    block = L.rarest(t, f, "p_partkey", 2).groupBy("p_partkey").agg(F.array_sort(F.collect_list(F.struct("nth", "token")))["token"].alias("block"))
+    t = t.join(f.select("token", L.idf_log10(F.col("df")).alias("weight")), "token")
+    a, b = t.withColumnRenamed("p_partkey", "a_key"), t.withColumnRenamed("p_partkey", "b_key")
+    pairs = block.withColumnRenamed("p_partkey", "a_key").join(block.withColumnRenamed("p_partkey", "b_key"), "block").where("a_key < b_key").select("a_key", "b_key")
+    s = L.subset_score(pairs, a, b, "a_key", "b_key").select("a_key", "b_key", "shared", F.round("score", 6).alias("score"))
+    members = sets.where("p_partkey != rep").select(F.col("rep").alias("a_key"), F.col("p_partkey").alias("b_key"), F.col("n").alias("shared"), F.lit(1.0).alias("score"))
+    return s.unionByName(members)
 
 
 @register("score_additive", f"WITH {_CANDIDATES} SELECT part, supp, round(0.5 * disc + 0.2 * tax + 0.01 * qty, 6) AS score FROM cand")
@@ -170,19 +189,13 @@ def keyed_dot_product(spark: SparkSession, d: str) -> DataFrame:
     return out.where(F.size(F.array_intersect("k", "k2")) > 0).select("c", F.round("dot", 4).alias("dot"))
 
 
-@register("connected_components", """WITH RECURSIVE e AS (SELECT DISTINCT a.o_custkey AS x, b.o_custkey AS y FROM orders a JOIN lineitem l ON l.l_orderkey = a.o_orderkey
-JOIN lineitem m ON m.l_partkey = l.l_partkey AND m.l_suppkey = l.l_suppkey JOIN orders b ON b.o_orderkey = m.l_orderkey WHERE a.o_custkey <> b.o_custkey AND l.l_partkey % 20 = 0),
-s AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
-r(node, reach) AS (SELECT x, x FROM s UNION SELECT r.node, s.y FROM r JOIN s ON s.x = r.reach)
-SELECT node, min(reach) AS component FROM r GROUP BY 1""")
+@register("connected_components", """WITH RECURSIVE k AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s, o_custkey AS c FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+h AS (SELECT c AS x, min(c) OVER (PARTITION BY p, s) AS y FROM k), e AS (SELECT x, y FROM h WHERE x <> y UNION SELECT y, x FROM h WHERE x <> y),
+r(node, component) USING KEY (node) AS (SELECT DISTINCT x, x FROM e UNION
+  SELECT e.y, min(r.component) FROM r JOIN e ON e.x = r.node JOIN recurring.r AS old ON old.node = e.y WHERE r.component < old.component GROUP BY e.y)
+SELECT node, component FROM r""")
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
-    """As its SQL: the links of one part in twenty only."""
-    return _customers_linked(spark, d, table(spark, d, "lineitem").where("l_partkey % 20 = 0"))
-
-
-@register("connected_components_all")
-def connected_components_all(spark: SparkSession, d: str) -> DataFrame:
-    """The links of all parts; too many for the recursive SQL."""
+    """Customers linked by a part that one supplier sent to both."""
     return _customers_linked(spark, d, table(spark, d, "lineitem"))
 
 
@@ -220,7 +233,7 @@ def hungarian_groups(spark: SparkSession, d: str) -> DataFrame:
 
 @register("global_one_to_one")
 def global_one_to_one(spark: SparkSession, d: str) -> DataFrame:
-    c = L.prune(_candidates(spark, d).where("n >= 2"), ["part"], "qty", 5).select("part", "supp", "qty")
+    c = L.prune(_candidates(spark, d), ["part"], "qty", 5).select("part", "supp", "qty")
     return A.assign_globally(c, "part", "supp", "qty")
 
 
@@ -263,15 +276,9 @@ def fellegi_sunter(spark: SparkSession, d: str) -> DataFrame:
     return vectors.withColumn("weight", F.round(L.match_weight(m, u), 6))
 
 
-@register("embedding_topk", """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (
-SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.e, b.e), 6) AS cosine FROM v a JOIN v b ON a.vec_id < 25 AND a.vec_id <> b.vec_id)
+@register("embedding_topk", """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL), s AS (
+SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.e, b.e), 6) AS cosine FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
 SELECT query_id, vec_id, cosine FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) <= 5""")
 def embedding_topk(spark: SparkSession, d: str) -> DataFrame:
-    """A set query of 25 vectors against all: the queries are broadcast."""
-    v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    norm = lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, y: s + y * y))
-    q = v.where("vec_id < 25").select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"))
-    dot = F.aggregate(F.zip_with("q", "e", lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y)
-    s = v.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot / (norm(F.col("q")) * norm(F.col("e"))), 6).alias("cosine"))
-    order = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "vec_id")
-    return s.withColumn("r", F.row_number().over(order)).where("r <= 5").drop("r")
+    """Every twentieth vector against all others, in blocks of queries."""
+    return cosine_top_k(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0, "vec_id", "embedding", 5)

@@ -14,11 +14,11 @@ from loomspan.plans.panels import _FLOWS, _SPELLS, flows, nation_years, spells
 from loomspan.plans.registry import register, table
 
 
-@register("like_containment", """SELECT p_partkey, n_name FROM part JOIN nation ON p_name || p_type LIKE '%' || right(n_name, 1) || '%' WHERE p_partkey % 10 = 0""")
+@register("like_containment", """SELECT p_partkey, n_name FROM part JOIN nation ON p_name || p_type LIKE '%' || chr(97 + n_nationkey::INTEGER) || '%'""")
 def like_containment(spark: SparkSession, d: str) -> DataFrame:
     """A containment condition against a lookup table of 25 rows, broadcast."""
-    n = table(spark, d, "nation").select("n_name", F.right("n_name", F.lit(1)).alias("bit"))
-    p = table(spark, d, "part").where("p_partkey % 10 = 0").withColumn("t", F.concat("p_name", "p_type"))
+    n = table(spark, d, "nation").select("n_name", F.char(97 + F.col("n_nationkey")).alias("bit"))
+    p = table(spark, d, "part").withColumn("t", F.concat("p_name", "p_type"))
     return p.join(F.broadcast(n), F.contains("t", "bit")).select("p_partkey", "n_name")
 
 
@@ -48,13 +48,10 @@ def duplicate_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("overlap_sweep", f"""WITH {_SPELLS}, s AS (SELECT o_orderkey, o_custkey, year(a) AS x, year(b) AS y FROM sp)
-SELECT o_orderkey, coalesce(x <= max(y) OVER (PARTITION BY o_custkey ORDER BY x, y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 0, false) AS overlaps FROM s
-WHERE o_orderkey % 1 = 0 QUALIFY count(*) OVER (PARTITION BY o_custkey, x, y) = 1""")
+SELECT o_orderkey, coalesce(x <= max(y) OVER (PARTITION BY o_custkey ORDER BY x, y, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 0, false) AS overlaps FROM s""")
 def overlap_sweep(spark: SparkSession, d: str) -> DataFrame:
     s = spells(spark, d).select("o_orderkey", "o_custkey", F.year("a").alias("x"), F.year("b").alias("y"))
-    s = D.overlapping_neighbours(s, ["o_custkey"], "x", "y", 0)
-    alone = F.count("*").over(Window.partitionBy("o_custkey", "x", "y"))
-    return s.withColumn("_n", alone).where("_n = 1").select("o_orderkey", "overlaps")
+    return D.overlapping_neighbours(s, ["o_custkey"], "x", "y", 0, ["o_orderkey"]).select("o_orderkey", "overlaps")
 
 
 @register("bounded_after_first", """SELECT a.o_orderkey, b.o_orderkey AS next_key FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey
@@ -90,10 +87,10 @@ def birth_year_guess(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", D.birth_year(F.when(s > 40, 1990 + s), 1980 + s, 1990 + s % 7).alias("born"))
 
 
-@register("pair_correction", f"""WITH {_FLOWS}, f AS (SELECT c, k, t, min(t) OVER (PARTITION BY c) AS a, min(t) OVER (PARTITION BY k) AS b, min(t) OVER (PARTITION BY c, k) AS p FROM fl WHERE q > 60)
+@register("pair_correction", f"""WITH {_FLOWS}, f AS (SELECT c, k, t, min(t) OVER (PARTITION BY c) AS a, min(t) OVER (PARTITION BY k) AS b, min(t) OVER (PARTITION BY c, k) AS p FROM fl)
 SELECT c, k, t, NOT (t > 1996 AND t = p AND a < t AND b < t) AS keep FROM f""")
 def pair_correction(spark: SparkSession, d: str) -> DataFrame:
-    return D.new_pairs(flows(spark, d).where("q > 60"), "c", "k", "t", 1996).select("c", "k", "t", "keep")
+    return D.new_pairs(flows(spark, d), "c", "k", "t", 1996).select("c", "k", "t", "keep")
 
 
 @register("exposure_trajectory", f"""WITH {_FLOWS}, g AS (SELECT k, CASE WHEN r IS NOT NULL THEN greatest(0, r) END AS v FROM (SELECT k, q - lag(q) OVER (PARTITION BY k ORDER BY t) AS r FROM bt)),

@@ -19,9 +19,9 @@ def _head() -> Column:
 _CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower({x})), '[''.]', '', 'g'), '[&+]', ' and ', 'g'), '[^a-z0-9 ]+', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
-@register("name_normalise_institution", rf"SELECT doc_id, {_CLEAN.format(x='text')} AS clean FROM documents WHERE lang <> 'de'")
+@register("name_normalise_institution", rf"SELECT doc_id, {_CLEAN.format(x='text')} AS clean FROM documents")
 def name_normalise_institution(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("lang <> 'de'").select("doc_id", T.institution(F.col("text"), brackets=True).alias("clean"))
+    return table(spark, d, "documents").select("doc_id", T.institution(F.col("text"), brackets=True).alias("clean"))
 
 
 @register("name_normalise_field", r"""SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(t), '[^a-z0-9 ]+', ' ', 'g'),

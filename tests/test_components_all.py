@@ -32,12 +32,12 @@ def test_all_parts_link(spark, tmp_path):
     orders = [(1, 3), (2, 4), (3, 9), (4, 10), (5, 11), (6, 12), (7, 13)]
     spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
-    found = {tuple(r) for r in catalogue.queries()["connected_components_all"](spark, str(tmp_path)).select("node", "component").collect()}
+    found = {tuple(r) for r in catalogue.queries()["connected_components"](spark, str(tmp_path)).select("node", "component").collect()}
     assert found == plainly(lines, orders)
 
 
 def test_all_parts_link_in_the_tables(spark, duck, sf_dir):
     lines = duck.execute("SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem").fetchall()
     orders = duck.execute("SELECT o_orderkey, o_custkey FROM orders").fetchall()
-    found = {tuple(r) for r in catalogue.queries()["connected_components_all"](spark, sf_dir).select("node", "component").collect()}
+    found = {tuple(r) for r in catalogue.queries()["connected_components"](spark, sf_dir).select("node", "component").collect()}
     assert found == plainly(lines, orders)
