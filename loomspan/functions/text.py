@@ -47,15 +47,24 @@ def institution(text: Column, brackets: bool = False) -> Column:
     return squeeze(F.regexp_replace(out, r"[^a-z0-9 ]+", " "))
 
 
-#: Abbreviations in names of fields of study, and degree words.
-FIELD_SHORT = {"engr": "engineering", "eng": "engineering", "mgmt": "management", "sci": "science", "comp": "computer", "admin": "administration", "tech": "technology", "intl": "international"}
-DEGREE_WORDS = ("bachelor", "bachelors", "master", "masters", "doctor", "doctorate", "degree", "phd", "mba", "bs", "ba", "ms", "ma", "of", "in")
+#: Short forms in names of fields of study, and what is dropped.
+FIELD_FORMS = {
+    "engineering": ("engrg", "engr", "engineeri"), "computer": ("compu", "comp", "compute"), "electrical": ("elec", "elecs"), "science": ("sci",),
+    "information": ("info",), "systems": ("sys", "syss"), "technology": ("tec", "techno", "tech"), "mechanical": ("mech",),
+}
+FIELD_DROPPED = (r"m\s?a", r"m\s?s", r"b\s?s", r"b\s?a", "[0-9]+", r"m\s?d", r"p\s?h\s?d", "bachelor", "bachelors", "master", "masters", "in", "and", r"j\s?d", "degree")
 
 
 def field_of_study(text: Column) -> Column:
-    """A field's name as a key: abbreviations spelt out, degree words dropped."""
-    out = replace_words(institution(text), FIELD_SHORT)
-    return squeeze(F.regexp_replace(out, r"\b(" + "|".join(DEGREE_WORDS) + r")\b", " "))
+    """A field's name as a key: lower case, no accents, apostrophes or dots,
+    ``and`` spelt out, other marks but slashes as spaces; short forms spelt
+    out, degree words and numbers dropped. A form takes the spaces beside it,
+    so of two that touch the first alone is seen."""
+    out = F.regexp_replace(strip_accents(F.lower(text)), r"['’.]", "")
+    out = F.regexp_replace(F.regexp_replace(out, r"\s?(&|\+)\s?", " and "), r"[^A-z0-9/\s]", " ")
+    for word, forms in (*FIELD_FORMS.items(), ("", FIELD_DROPPED)):
+        out = F.regexp_replace(out, rf"(^|\s)({'|'.join(forms)})($|\s)", f" {word} " if word else " ")
+    return squeeze(out)
 
 
 #: Legal forms of companies.
@@ -100,22 +109,60 @@ def zip5(text: Column) -> Column:
     return F.when(found != "", F.lpad(found, 5, "0"))
 
 
-#: Ordered rules for kinds of degree; the first that fits counts.
+#: Ordered rules for kinds of degree, each with the texts (a
+#: school's, a degree's, a field's; in lower case where ``low``) and the
+#: pattern that is looked for. The first kind that fits counts.
+SHORT_COURSES = "edx|course|credential|semester|exchange|abroad|summer|internship|certificat|coursera|udemy"
 DEGREE_RULES = (
-    ("doctor", r"\b(phd|doctor\w*|dphil|ed ?d|j ?d|m ?d)\b"),
-    ("mba", r"\b(mba|master of business administration)\b"),
-    ("master", r"\b(master\w*|msc?|m ?s|m ?a|meng|mtech)\b"),
-    ("bachelor", r"\b(bachelor\w*|bsc?|b ?a|b ?s|beng|btech)\b"),
-    ("associate", r"\b(associate\w*|a ?a)\b"),
-    ("high school", r"\b(high school|secondary|ged)\b"),
+    ("High School", (("low school", r"high\s?school"), ("low degree", r"high\s?school"), ("low field", r"high\s?school"), ("low degree", r"^g\.?e\.?d\.?$"))),
+    ("Non-Degree", (("low degree", "cert|credential|course|semester|exchange|abroad|summer|internship|edx|cdl|coursera|udemy"), ("low school", SHORT_COURSES), ("low field", SHORT_COURSES))),
+    ("Bachelor", (
+        ("low degree", "undergrad"), ("degree", r"\b(B\.?A\.?|B\.?S\.?C\.?E\.?|B\.?Sc\.?|B\.?A\.?E\.?|B\.?Eng\.?|A\.?B\.?|S\.?B\.?|B\.?B\.?M\.?|B\.?I\.?S\.?)\b"),
+        ("degree", r"^B\.?\s?S\.?"), ("low field", "bachelor"), ("low degree", "bachelor|baccalauréat"),
+    )),
+    ("Master", (("low degree", "master"), ("degree", r"^M\.?(Eng|Sc|A)\.?"), ("degree", r"M\.?S\.?C\.?E\.?|M\.?P\.?A\.?|M\.?Eng|M\.?Sc|M\.?A"), ("low field", "master"))),
+    ("Associate", (("low field", "associate"), ("degree", r"^A\.?\s?A\.?"), ("low degree", "associate"))),
+    ("Doctor", (("low degree", r"doctor|ph\.?\s?d\.?|d\.?o\.?|dvm|jd"), ("degree", r"Ph\.?D\.?|D\.?O\.?|J\.?D\.?"))),
+    ("High School", (("school", r"(HS| High| HIGH| high|H\.S\.|S\.?S\.?C|H\.?S\.?C\.?|I\.?B\.?)$"),)),
+    ("Bachelor", (("degree", r"^B\.?\s?[A-Z]"),)),
+    ("Master", (("degree", r"^M\.?\s?[A-Z]"),)),
+)
+#: What makes a field STEM, what makes a science not, and what
+#: makes a field something else.
+STEM_FIELDS = ("Engineering", "Biology", "Statistics", "Chemistry", "Medicine", "Mathematics", "Physics", "Information Technology")
+OTHER_FIELDS = ("Nursing", "Marketing", "Law", "Economics", "Finance", "Accounting", "Business", "Education", "Architecture")
+STEM_WORDS = (
+    "engineer|information|math|chem|bio|pharm|psych|geography|environment|animation|cyber|comput|intelligence|data|aero|technol|software|web.*dev|energy|astronomy|"
+    "robotics|hardware|machine learning|deep learning|nuclear|materials|earth|bsee|msee|game.*design|electr"
 )
+SOFT_SCIENCE = "(political|social|exercise|arts and|nursing|police) science"
+OTHER_WORDS = (
+    "studies|design|government|humanities|journalism|english|language|administration|history|advertising|education|marketing|nursing|law|economics|finance|accounting|"
+    "architecture|linguistics|communication|theater|theatre|fashion|philosophy|politic|international|public|global|photography|sociology|religion|theology|dance|music|"
+    "drama|writing|therapy|media|art|exercise|business|commerce|film|liberal|esthetic|anthropology|criminal|social|sales|health"
+)
+
+
+def degree_kind(school: Column, degree: Column, field: Column) -> Column:
+    """The kind of a degree by the first rule that fits; 'Missing' if none
+    does. Null texts fit nothing."""
+    texts = {"school": school, "degree": degree, "field": field}
+    texts |= {f"low {k}": F.lower(v) for k, v in texts.items()}
+    out = F.lit("Missing")
+    for kind, tests in reversed(DEGREE_RULES):
+        fits = F.lit(False)
+        for name, pattern in tests:
+            fits = fits | F.coalesce(texts[name].rlike(pattern), F.lit(False))
+        out = F.when(fits, kind).otherwise(out)
+    return out
 
 
-def degree_kind(text: Column) -> Column:
-    clean, out = institution(text), F.lit(None).cast("string")
-    for kind, pattern in reversed(DEGREE_RULES):
-        out = F.when(clean.rlike(pattern), kind).otherwise(out)
-    return F.coalesce(out, F.lit("other"))
+def stem_flag(field: Column, raw_field: Column, raw_degree: Column) -> Column:
+    """1 for STEM, 0 for other fields, null where nothing tells."""
+    has = lambda c, p: F.coalesce(F.lower(c).rlike(p), F.lit(False))
+    named = lambda names: F.coalesce(field.isin(*names), F.lit(False))
+    stem = named(STEM_FIELDS) | has(raw_field, STEM_WORDS) | has(raw_degree, STEM_WORDS) | (has(raw_field, "science") & ~has(raw_field, SOFT_SCIENCE))
+    return F.when(stem, 1).when(named(OTHER_FIELDS) | has(raw_field, OTHER_WORDS), 0)
 
 
 def cip4(code: Column) -> Column:

@@ -123,7 +123,7 @@ def osa_rules(spark: SparkSession, d: str) -> DataFrame:
     """Pairs at two edits or fewer, neighbours swapped as one, none edited twice."""
     p = _pairs(spark, d).withColumn("osa", S.osa_distance("a", "b"))
     n = table(spark, d, "part").groupBy(F.concat_ws(" ", "p_name", "p_type").alias("a")).agg(F.count("*").alias("n"))
-    return p.join(n, "a").where((F.col("osa") <= 2) | (F.log("n") >= 2.5)).select("a_key", "b_key", "osa")
+    return p.join(n, "a").where((F.col("osa") <= 2) | (F.log("n") >= 2)).select("a_key", "b_key", "osa")
 
 
 @register("lev_within_bound", f"WITH {_PAIRS} SELECT a_key, b_key FROM p WHERE levenshtein(a, b) <= 12")

@@ -111,12 +111,13 @@ def idf_saturating(spark: SparkSession, d: str) -> DataFrame:
     return _candidates(spark, d).select("part", "supp", F.round(L.saturating(F.col("n"), 0.8, 2.0), 6).alias("evidence"), F.round(L.hyperbolic(F.col("n"), 3.0), 6).alias("decay"))
 
 
-@register("field_and_year_score", """SELECT p_partkey, round(greatest(0, 1 - abs(p_size - 25) / 11.0) ^ 2, 6) AS year_score,
-CASE WHEN p_size * 100 = 2500 THEN 1.0 WHEN p_size = 24 THEN 0.7 ELSE 0.0 END AS field_score FROM (SELECT p_partkey, p_size FROM part)""")
+@register("field_and_year_score", """WITH c AS (SELECT p_partkey, p_size, p_size * 53 + 1000 AS code, 1000 + (p_partkey % 40) * 66 AS other FROM part)
+SELECT p_partkey, round(greatest(0, 1 - abs(p_size - 25) / 11.0) ^ 2, 6) AS year_score,
+CASE WHEN code = other THEN 1.0 WHEN code // 100 = other // 100 THEN 0.7 ELSE 0.0 END AS field_score FROM c""")
 def field_and_year_score(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
-    code = F.when(F.col("p_size") == 24, 2599).otherwise(F.col("p_size") * 100)
-    return p.select("p_partkey", F.round(L.year_score(F.col("p_size") - 25, 10.0, 2.0), 6).alias("year_score"), L.field_score(code, F.lit(2500)).alias("field_score"))
+    code, other = F.col("p_size") * 53 + 1000, 1000 + F.col("p_partkey") % 40 * 66
+    return p.select("p_partkey", F.round(L.year_score(F.col("p_size") - 25, 10.0, 2.0), 6).alias("year_score"), L.field_score(code, other).alias("field_score"))
 
 
 @register("relative_prune", f"WITH {_CANDIDATES} SELECT part, supp FROM cand QUALIFY qty >= max(qty) OVER (PARTITION BY part) - 10")
@@ -207,8 +208,11 @@ def _customers_linked(spark: SparkSession, d: str, lines: DataFrame) -> DataFram
     return components(hub.where("hub != o_custkey").select("o_custkey", "hub"), "o_custkey", "hub")
 
 
-@register("person_linkage", """SELECT c_custkey AS node, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) AS component FROM customer
-QUALIFY count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) > 1""")
+@register("person_linkage", """WITH RECURSIVE l AS (SELECT c_custkey AS x, lag(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS y FROM customer),
+e AS (SELECT x, y FROM l WHERE y IS NOT NULL UNION SELECT y, x FROM l WHERE y IS NOT NULL),
+r(node, component) USING KEY (node) AS (SELECT DISTINCT x, x FROM e UNION
+  SELECT e.y, min(r.component) FROM r JOIN e ON e.x = r.node JOIN recurring.r AS old ON old.node = e.y WHERE r.component < old.component GROUP BY e.y)
+SELECT node, component FROM r""")
 def person_linkage(spark: SparkSession, d: str) -> DataFrame:
     """Neighbours in key order are linked; ids come from their components."""
     order = Window.partitionBy("c_nationkey", "c_mktsegment").orderBy("c_custkey")

@@ -24,12 +24,29 @@ def name_normalise_institution(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.institution(F.col("text"), brackets=True).alias("clean"))
 
 
-@register("name_normalise_field", r"""SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(t), '[^a-z0-9 ]+', ' ', 'g'),
-'\bengr\b', 'engineering', 'g'), '\b(master|masters|of|in)\b', ' ', 'g'), '\s+', ' ', 'g')) AS clean
-FROM (SELECT p_partkey, 'Masters of Engr in ' || p_type || ' ' || p_name AS t FROM part)""")
+_STUDIED = """CASE p_partkey % 7 WHEN 0 THEN 'M.S. in Comp Sci & Engr' WHEN 1 THEN 'Masters of Elec Engrg/' WHEN 2 THEN 'Info Sys + Techno 101' WHEN 3 THEN 'Génie mech, Bachelor’s degree'
+WHEN 4 THEN 'comp comp sci sci' WHEN 5 THEN 'B A and ' || p_type ELSE p_name || ' tech' END"""
+
+
+def _studied() -> Column:
+    k, out = F.col("p_partkey") % 7, F.concat("p_name", F.lit(" tech"))
+    said = ("M.S. in Comp Sci & Engr", "Masters of Elec Engrg/", "Info Sys + Techno 101", "Génie mech, Bachelor’s degree", "comp comp sci sci")
+    out = F.when(k == 5, F.concat(F.lit("B A and "), "p_type")).otherwise(out)
+    for i, x in enumerate(said):
+        out = F.when(k == i, x).otherwise(out)
+    return out
+
+
+def _field_sql(text: str) -> str:
+    out = rf"regexp_replace(regexp_replace(regexp_replace(strip_accents(lower({text})), '[''’.]', '', 'g'), '\s?(&|\+)\s?', ' and ', 'g'), '[^A-z0-9/\s]', ' ', 'g')"
+    for word, forms in T.FIELD_FORMS.items():
+        out = rf"regexp_replace({out}, '(^|\s)({'|'.join(forms)})($|\s)', ' {word} ', 'g')"
+    return rf"trim(regexp_replace(regexp_replace({out}, '(^|\s)({'|'.join(T.FIELD_DROPPED)})($|\s)', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@register("name_normalise_field", f"SELECT p_partkey, {_field_sql('t')} AS clean FROM (SELECT p_partkey, {_STUDIED} AS t FROM part)")
 def name_normalise_field(spark: SparkSession, d: str) -> DataFrame:
-    t = F.concat(F.lit("Masters of Engr in "), "p_type", F.lit(" "), "p_name")
-    return table(spark, d, "part").select("p_partkey", T.field_of_study(t).alias("clean"))
+    return table(spark, d, "part").select("p_partkey", T.field_of_study(_studied()).alias("clean"))
 
 
 @register("name_normalise_company", r"""SELECT s_suppkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(t), '\.', '', 'g'), '[^a-z0-9 ]+', ' ', 'g'),
@@ -47,12 +64,46 @@ def name_normalise_person(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", T.full_name(t).alias("clean"), T.title_case(T.full_name(t)).alias("title"))
 
 
-@register("degree_classify", """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'doctor' WHEN 1 THEN 'mba' WHEN 2 THEN 'master'
-WHEN 3 THEN 'bachelor' WHEN 4 THEN 'high school' ELSE 'other' END AS kind FROM orders""")
+#: Schools, degrees and fields that meet every rule, and some that meet none.
+_SCHOOLS = ("Central High School", "Coursera", "State University", "Lincoln HS", None)
+_DEGREES = ("Ph.D.", "MBA", "M.Sc. Economics", "B.S", "Bachelor of Arts", "A.A.", "Certificate", "GED", "J.D.", "M. Tech", "B Tech", "undergraduate", "none", None)
+_FIELDS = ("Political Science", "Computer Science", "Associate", "Exchange semester", "Bachelors in History", "Mathematics", "Fine writing", "Science of life", None)
+
+
+#: The values of each text and how many orders in a row share one.
+_PICKED = {"school": (_SCHOOLS, 1), "degree": (_DEGREES, 5), "field": (_FIELDS, 70)}
+
+
+def _picked(name: str) -> Column:
+    values, run = _PICKED[name]
+    return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (F.floor(F.col("o_orderkey") / run) % len(values) + 1).cast("int"))
+
+
+def _picked_sql(name: str) -> str:
+    values, run = _PICKED[name]
+    quoted = ", ".join("NULL" if v is None else f"'{v}'" for v in values)
+    return f"list_extract([{quoted}], (o_orderkey // {run}) % {len(values)} + 1) AS {name}"
+
+
+_PICKED_SQL = f"p AS (SELECT o_orderkey, {', '.join(map(_picked_sql, _PICKED))} FROM orders)"
+
+
+def _degree_sql() -> str:
+    test = lambda name, pattern: f"coalesce(regexp_matches({'lower(' + name[4:] + ')' if name.startswith('low ') else name}, '{pattern}'), false)"
+    return "CASE " + " ".join(f"WHEN {' OR '.join(test(*t) for t in tests)} THEN '{kind}'" for kind, tests in T.DEGREE_RULES) + " ELSE 'Missing' END"
+
+
+@register("degree_classify", f"WITH {_PICKED_SQL} SELECT o_orderkey, {_degree_sql()} AS kind FROM p")
 def degree_classify(spark: SparkSession, d: str) -> DataFrame:
-    said = F.array(*[F.lit(x) for x in ("Ph.D. in Physics", "MBA", "M.Sc. Economics", "Bachelor of Arts", "High School diploma", "Certificate")])
-    t = F.element_at(said, (F.col("o_orderkey") % 6 + 1).cast("int"))
-    return table(spark, d, "orders").select("o_orderkey", T.degree_kind(t).alias("kind"))
+    return table(spark, d, "orders").select("o_orderkey", T.degree_kind(*map(_picked, _PICKED)).alias("kind"))
+
+
+@register("stem_flag", f"""WITH {_PICKED_SQL}, q AS (SELECT o_orderkey, field AS named, lower(coalesce(field, '')) AS f, lower(coalesce(degree, '')) AS g FROM p)
+SELECT o_orderkey, CASE WHEN named IN {T.STEM_FIELDS} OR regexp_matches(f, '{T.STEM_WORDS}') OR regexp_matches(g, '{T.STEM_WORDS}') OR (f LIKE '%science%' AND NOT regexp_matches(f, '{T.SOFT_SCIENCE}')) THEN 1
+WHEN named IN {T.OTHER_FIELDS} OR regexp_matches(f, '{T.OTHER_WORDS}') THEN 0 END AS stem FROM q""")
+def stem_flag(spark: SparkSession, d: str) -> DataFrame:
+    field, degree = _picked("field"), _picked("degree")
+    return table(spark, d, "orders").select("o_orderkey", T.stem_flag(field, field, degree).alias("stem"))
 
 
 @register("cip_and_zip", """SELECT p_partkey, CAST(substr(lpad(CAST(p_partkey AS VARCHAR), 6, '1'), 1, 4) AS INTEGER) AS cip4,
