@@ -1,9 +1,13 @@
-"""Near copies by the Jaccard similarity of shingle sets, found exactly.
-
-Two sets of similarity t or more share one of the first n - ceil(t n) + 1
-shingles of each, in any order that all texts keep. Texts are filed under
-these, the shingles of crowded cells last, and every pair that a file proposes
-is confirmed on the whole sets.
+"""SimHash near-dedup at a Jaccard similarity of shingle sets, none lost.
+
+Fingerprints of the shingle sets are joined by the trie join of ``simhash``;
+each pair it proposes is confirmed on the whole sets. No budget of bits that a
+trie can prune with holds every pair of similarity 0.8 (they differ in some
+ten bits of 64), so whatever the fingerprints leave apart goes through an
+exact filter: two sets of similarity t or more share one of the first
+n - ceil(t n) + 1 shingles of each, in any order that all texts keep. Texts
+are filed under these, the shingles of crowded cells last, and every pair that
+a file proposes between two groups is confirmed in the same way.
 """
 
 from __future__ import annotations
@@ -17,11 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm.components import connected_components
-from loomspan.llm.shared import release, settle, slices, texts_of
-from loomspan.llm.simhash import FOLD, SEED
+from loomspan.llm.shared import slices, texts_of
+from loomspan.llm.simhash import SEED, close_links, gram_hashes, majority
+from loomspan.storage import settle
 
-#: Words of a shingle; least similarity, as a fraction.
-WIDTH, LEAST = 5, (4, 5)
+#: Words of a shingle; least similarity, as a fraction; the trie join's bits.
+WIDTH, LEAST, BUDGET = 5, (4, 5), 3
 #: Cells of the counts that order shingles; they steer cost, never results.
 CELLS = 1 << 20
 PIECES = 16
@@ -32,18 +37,8 @@ SLAB, CHUNK_BYTES = 500_000, 8 << 20
 
 
 def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
-    """The sorted distinct hashes of runs of ``width`` words; a shorter text is
-    one shingle, a text without words none."""
-    words = (text or b"").translate(FOLD).split()
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    n = max(1, len(words) - width + 1)
-    lasts = ends[width - 1 :] if len(words) >= width else ends[-1:]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), lasts.tolist(), strict=True)), dtype=np.uint64, count=n))
+    """The sorted distinct hashes of runs of ``width`` words."""
+    return np.unique(gram_hashes(text, width))
 
 
 def node_of(grams: np.ndarray) -> int:
@@ -64,15 +59,16 @@ def _possible(na: np.ndarray, pa_: np.ndarray, nb: np.ndarray, pb: np.ndarray, l
 
 
 def _proposals(rows: tuple[np.ndarray, ...], least: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """Pairs of the sorted (key, node, n, at) rows, and the rows of large files."""
-    key, node, n, at = rows
+    """Pairs between roots of the sorted (key, node, n, at, root) rows, and
+    the rows of large files."""
+    key, node, n, at, root = rows
     cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     sizes = np.diff(np.append(cut, len(key)))
     size = np.repeat(sizes, sizes)
     pairs: list[np.ndarray] = []
     for d in range(1, SMALL):
         i = np.flatnonzero(key[:-d] == key[d:])
-        i = i[_possible(n[i], at[i], n[i + d], at[i + d], least) & (node[i] != node[i + d])]
+        i = i[_possible(n[i], at[i], n[i + d], at[i + d], least) & (root[i] != root[i + d])]
         pairs.append(np.stack((np.minimum(node[i], node[i + d]), np.maximum(node[i], node[i + d])), axis=1))
     found = np.unique(np.concatenate(pairs), axis=0)
     if len(found):
@@ -132,34 +128,38 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, width: int, least: tuple[int,
     return settle(both.mapInArrow(run, "a long, b long"), "links")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: tuple[int, int] = LEAST) -> DataFrame:
-    """One row per input row: ``doc_id, component_id``, the smallest doc_id
-    reachable over pairs of Jaccard similarity ``least`` or more.
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: tuple[int, int] = LEAST, budget: int = BUDGET) -> DataFrame:
+    """One row per input row: ``doc_id, fingerprint`` (of the shingle set, 16
+    hex digits), ``component_id``, the smallest doc_id reachable over pairs of
+    Jaccard similarity ``least`` or more.
 
     Equal sets are one node. Texts without words are alike. A null doc_id takes
     part but names a component only where no other id is in it. Repeated rows
-    give repeated rows; an empty table gives none.
+    give repeated rows; an empty table gives none; other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("uid", F.xxhash64("doc_id", "text"))
+    seen_as = ["doc_id", "uid", "node", "fp", "piece", "cells"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, dtype=np.uint32)
         some = False
         for batch in slices(batches, "text", CHUNK_BYTES):
-            names = []
+            names, prints = [], []
             for text in texts_of(batch, "text"):
                 grams = shingles(text, width)
                 names.append(node_of(grams))
+                prints.append(majority(grams))
                 np.add.at(cells, (grams % np.uint64(CELLS)).astype(np.int64), 1)
             some = some or batch.num_rows > 0
             m = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], ["doc_id", "uid", "node", "piece", "cells"])
+            cols = (batch.column(0), batch.column(2), pa.array(names, pa.int64()), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()))
+            yield pa.RecordBatch.from_arrays(list(cols), seen_as)
         if some:
             none = pa.nulls(PIECES, pa.int64())
             parts = [c.tobytes() for c in np.array_split(cells, PIECES)]
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(PIECES), pa.int32()), pa.array(parts, pa.binary())], ["doc_id", "uid", "node", "piece", "cells"])
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(PIECES), pa.int32()), pa.array(parts, pa.binary())], seen_as)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -169,16 +169,22 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if total:
             yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["piece", "cells"])
 
-    seen = settle(rows.mapInArrow(read, "doc_id long, uid long, node long, piece int, cells binary"), "sets")
+    seen = settle(rows.mapInArrow(read, "doc_id long, uid long, node long, fp long, piece int, cells binary"), "sets")
     parts = seen.where("piece IS NOT NULL").select("piece", "cells").repartition(PIECES, "piece").mapInArrow(add, "piece int, cells binary").collect()
     crowd = np.concatenate([np.frombuffer(r["cells"], dtype=np.int64) for r in sorted(parts, key=lambda r: r["piece"])]) if parts else np.zeros(CELLS, np.int64)
     shared = spark.sparkContext.broadcast(crowd)
-    names = seen.where("piece IS NULL").select("doc_id", "uid", "node")
-    firsts = names.groupBy("node").agg(F.min("uid").alias("_uid"), F.min("doc_id").alias("first_id"))
-    firsts = settle(firsts, "firsts")
+    names = seen.where("piece IS NULL").select("doc_id", "uid", "node", "fp")
+    firsts = settle(names.groupBy("node", "fp").agg(F.min("uid").alias("_uid"), F.min("doc_id").alias("first_id")), "firsts")
     nodes = rows.join(firsts.select("_uid", "node"), F.col("uid") == F.col("_uid")).dropDuplicates(["uid", "node"]).select("node", "text")
     nodes = settle(nodes, "nodes")
-    release(spark)
+
+    # the trie join over fingerprints; a crowd of sets with one fingerprint is a star
+    prints = firsts.groupBy("fp").agg(F.min("node").alias("one"))
+    alike = firsts.join(prints, "fp").where("node != one").select(F.col("one").alias("a"), F.col("node").alias("b"))
+    side = lambda c: prints.select(F.col("fp").alias(c), F.col("one").alias(f"_{c}"))
+    close = close_links(prints.select("fp"), budget).join(side("a"), "a").join(side("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    links = _confirmed(alike.unionByName(close).distinct(), nodes, width, least)
+    roots = settle(connected_components(links), "roots")
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crowd = shared.value
@@ -194,21 +200,24 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 ns.append(n)
             sizes = np.array(sizes, dtype=np.int64)
             at = np.concatenate([np.arange(k) for k in sizes.tolist()]).astype(np.int64)
-            cols = [np.concatenate(keys), np.repeat(batch.column(0).to_numpy(), sizes), np.repeat(np.array(ns, dtype=np.int64), sizes), at]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "a", "n", "at"])
+            node, root = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            cols = [np.concatenate(keys), np.repeat(node, sizes), np.repeat(np.array(ns, dtype=np.int64), sizes), at, np.repeat(root, sizes)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "a", "n", "at", "root"])
 
-    filed = nodes.mapInArrow(file, "key long, a long, n long, at long").repartition("key").sortWithinPartitions("key", "n", "a")
+    rooted = nodes.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("node", "text", F.coalesce("root", "node").alias("root"))
+    filed = rooted.mapInArrow(file, "key long, a long, n long, at long, root long").repartition("key").sortWithinPartitions("key", "n", "a")
     proposed = settle(filed.mapInArrow(_by_key(_proposals, least), "key long, a long, b long, n long, at long"), "proposed")
-    release(spark)
-    links = _confirmed(proposed.where("key IS NULL").select("a", "b").distinct(), nodes, width, least)
+    links = links.unionByName(_confirmed(proposed.where("key IS NULL").select("a", "b").distinct(), nodes, width, least))
+    roots = connected_components(links)
     crowded = proposed.where("key IS NOT NULL").select("key", "a", "n", "at")
     if crowded.take(1):
-        roots = connected_components(links)
         crowded = crowded.join(roots, F.col("a") == F.col("node"), "left").select("key", "a", "n", "at", F.coalesce("root", "a").alias("root"))
         rest = crowded.repartition("key").sortWithinPartitions("key", "n", "a").mapInArrow(_by_key(_across, least), "a long, b long")
-        links = links.unionByName(_confirmed(rest.distinct(), nodes, width, least))
-    roots = connected_components(links)
+        found = _confirmed(rest.distinct(), nodes, width, least)
+        if found.take(1):
+            roots = connected_components(links.unionByName(found))
     named = firsts.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = named.join(smallest, "root").select(F.col("node").alias("_node"), "component_id")
-    return names.join(named, F.col("node") == F.col("_node")).select("doc_id", "component_id")
+    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return names.join(named, F.col("node") == F.col("_node")).select("doc_id", digits.alias("fingerprint"), "component_id")

@@ -11,36 +11,47 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm.components import connected_components
-from loomspan.llm.shared import settle, slices, texts_of
+from loomspan.llm.shared import slices, texts_of
+from loomspan.storage import settle
 
 SEED = 42
 UPPER = bytes(range(65, 91))
 LOWER = bytes(range(97, 123))
 FOLD = bytes.maketrans(UPPER, LOWER)
-#: Bit positions at which 64, then what is left, is cut into three pieces.
-CUTS = ((0, 21, 42, 64), (0, 15, 29, 43), (0, 10, 20, 29))
+#: How often a crowded file is cut again.
+LEVELS = 3
 #: Distinct fingerprints under one key; beyond, the key is cut further.
 MAX_GROUP = 20_000
 #: Fingerprints and node pairs that a worker handles at a time.
 SLAB, FRONTIER = 100_000, 1_000_000
 
 
-def fingerprint(text: bytes | None, width: int) -> int:
-    """The fingerprint of one text; 0 without words."""
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes (little-endian)."""
+    n, ones = len(hashes), np.zeros(64, dtype=np.int64)
+    for i in range(0, n, 65_536):
+        ones += np.unpackbits(hashes[i : i + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+
+
+def gram_hashes(text: bytes | None, width: int) -> np.ndarray:
+    """The hashes of the runs of ``width`` words, repeats included; a shorter
+    text is one run, a text without words has none."""
     words = (text or b"").translate(FOLD).split()
     if not words:
-        return 0
+        return np.empty(0, dtype="<u8")
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - width + 1)
     lasts = ends[width - 1 :] if len(words) >= width else ends[-1:]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), lasts.tolist(), strict=True)), dtype="<u8", count=n)
-    ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, n, 65_536):
-        ones += np.unpackbits(hashes[i : i + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), lasts.tolist(), strict=True)), dtype="<u8", count=n)
+
+
+def fingerprint(text: bytes | None, width: int) -> int:
+    """The fingerprint of one text; 0 without words."""
+    return majority(gram_hashes(text, width))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -135,24 +146,34 @@ def _pieces(rest: Column, cuts: tuple[int, ...]) -> Column:
     return F.explode(F.array(*out))
 
 
+def _cuts(bits: int, pieces: int) -> tuple[int, ...]:
+    """Bit positions that cut ``bits`` into pieces of about one length."""
+    return tuple(bits * k // pieces for k in range(pieces + 1))
+
+
 def close_links(fps: DataFrame, budget: int = 2, max_group: int = MAX_GROUP) -> DataFrame:
     """``a, b``: links between the distinct fingerprints ``fp`` that connect
-    whatever ``budget`` (2 at most) or fewer differing bits connect.
-
-    Two fingerprints that differ in at most two bits agree in one of three
-    pieces. Each is filed under its three pieces; every file is a trie that
-    is joined with itself. A file of over ``max_group`` fingerprints is cut
-    again by three pieces of the bits left, and again; after that the bits
-    left bound its size.
+    whatever ``budget`` or fewer differing bits connect.
+
+    Fingerprints that differ in at most that many bits agree in one of
+    ``budget`` + 1 pieces. Each is filed under its pieces, that is, the trie is
+    built once for each piece with that piece on top, and only node pairs
+    without an error on it go on together; every file is a trie that is
+    joined with itself. A file of over ``max_group`` fingerprints is cut
+    again by pieces of the bits left, and again; after that the bits left
+    bound its size.
     """
-    if not 0 <= budget <= 2:
-        raise ValueError("three pieces find two differing bits at most")
+    if not 0 <= budget <= 7:
+        raise ValueError("a budget of 0 to 7 bits: more pieces would be too short to part the fingerprints")
     rows = fps.select("fp", F.lit(0).cast("long").alias("key"), F.col("fp").alias("rest"))
     ready: DataFrame | None = None
-    for level, cuts in enumerate(CUTS):
+    bits, pieces = 64, budget + 1
+    for level in range(LEVELS):
+        cuts = _cuts(bits, pieces)
+        bits -= bits // pieces
         split = rows.select("fp", "key", _pieces(F.col("rest"), cuts).alias("p"))
         split = split.select("fp", F.xxhash64("key", F.lit(level), "p.piece", "p.value").alias("key"), "p.rest")
-        if level == len(CUTS) - 1:
+        if level == LEVELS - 1 or not bits:
             done = split
             ready = done.select("key", "fp") if ready is None else ready.unionByName(done.select("key", "fp"))
             break
@@ -188,10 +209,16 @@ def close_links(fps: DataFrame, budget: int = 2, max_group: int = MAX_GROUP) ->
 SIGN = np.uint64(1 << 63)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 2, similarity: tuple[int, int] | None = None) -> DataFrame:
     """One row per input row: ``doc_id, fingerprint`` (16 hex digits),
     ``component_id``: the smallest doc_id reachable over links.
 
+    Without ``similarity``, links are fingerprints (over all runs of ``width``
+    words, repeats included) at ``budget`` or fewer differing bits. With it, a
+    fraction, links are texts whose sets of runs have that Jaccard similarity
+    or more: pairs within ``budget`` bits are confirmed on the sets and an
+    exact filter finds those further apart (see ``near_copies``).
+
     Copies share a fingerprint and are one node, so groups of copies of any
     size cost nothing in the join. Null, empty and word-less texts have the
     fingerprint 0 and link like any other; a text of fewer than ``width``
@@ -199,6 +226,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     takes part but names a component only where no other id is in it. An
     empty table gives no rows; other columns are ignored.
     """
+    if similarity is not None:
+        from loomspan.llm.near_copies import near_copies
+
+        return near_copies(docs, id_col, text_col, width, similarity, budget)
     prints = settle(fingerprints(docs, id_col, text_col, width), "prints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = connected_components(close_links(classes.select("fp"), budget))
