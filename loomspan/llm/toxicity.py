@@ -13,10 +13,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from loomspan.llm.shared import slices, texts_of
+from loomspan.llm.shared import kept_names, slices, texts_of
+from loomspan.storage import settle
 
 FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 MARKS = b".,;:!?\"'()[]{}"
@@ -71,6 +73,12 @@ class Rows:
         lists = [self.columns[self.starts[i] : self.starts[i + 1]].tolist() for i in rows]
         return Rows.of(lists, self.dense[rows])
 
+    def only(self, allowed: np.ndarray) -> Rows:
+        """The rows with the allowed features alone."""
+        stay = allowed[self.columns]
+        held = np.concatenate(([0], np.cumsum(stay)))
+        return Rows(self.columns[stay], held[self.starts], self.dense)
+
     def dot(self, weights: np.ndarray, dense: np.ndarray, bias: float) -> np.ndarray:
         sums = np.concatenate(([0.0], np.cumsum(weights[self.columns])))
         return sums[self.starts[1:]] - sums[self.starts[:-1]] + self.dense @ dense + bias
@@ -140,8 +148,10 @@ def best_threshold(odds: np.ndarray, truth: np.ndarray) -> float:
     return float(1 / (1 + np.exp(-np.clip((odds[order][at] + low) / 2, -20, 20))))
 
 
-def fit_chain(names: list[str], columns: dict[bytes, int], lists: list[list[int]], dense: list[list[float]], truth: np.ndarray, folds: np.ndarray) -> Chain:
-    """Fits the chain on the rows; ``truth`` has a column for each name."""
+def fit_chain(names: list[str], columns: dict[bytes, int], lists: list[list[int]], dense: list[list[float]], truth: np.ndarray, folds: np.ndarray, allowed: list[np.ndarray]) -> Chain:
+    """Fits the chain on the rows; ``truth`` has a column for each name.
+    ``allowed`` has the features chosen without each fold, and from all rows
+    last: what is out of fold has no part in a fold's model."""
     plain = np.array(dense)
     spread = plain.std(axis=0)
     chain = Chain(names, columns, plain.mean(axis=0), np.where(spread > 1e-9, spread, 1.0))
@@ -151,8 +161,8 @@ def fit_chain(names: list[str], columns: dict[bytes, int], lists: list[list[int]
         now, outside = Rows(rows.columns, rows.starts, seen), np.zeros(len(lists))
         for f in range(FOLDS):
             test, fit = np.flatnonzero(folds == f), np.flatnonzero(folds != f)
-            outside[test] = Linear.fit(now.take(fit), truth[fit, k], len(columns)).odds(now.take(test))
-        chain.models.append(Linear.fit(now, truth[:, k], len(columns)))
+            outside[test] = Linear.fit(now.take(fit).only(allowed[f]), truth[fit, k], len(columns)).odds(now.take(test))
+        chain.models.append(Linear.fit(now.only(allowed[FOLDS]), truth[:, k], len(columns)))
         chain.thresholds.append(best_threshold(outside, truth[:, k]))
         seen = np.column_stack((seen, np.clip(outside, -20, 20) / 5))
     return chain
@@ -162,58 +172,76 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
     """A chain over ``categories`` (name: 0/1 expression over ``labels``, in
     order), or None where a category has no example for or against.
 
-    An id labelled more than once counts where any of its labels says so.
+    An id labelled more than once counts where any of its labels says so; one
+    that several documents bear stands for the text of the smallest hash.
     Null labels count as 0. The sample is of ``SAMPLE`` labelled ids at most;
-    the features are those of its texts that tell the categories apart best.
+    the features are those of its texts that tell the categories apart best,
+    chosen without each fold for that fold's out-of-fold model.
     """
-    spark, names = docs.sparkSession, list(categories)
+    names = list(categories)
     marked = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id"))
     marked = marked.agg(*[F.max(F.coalesce(c.cast("int"), F.lit(0))).alias(n) for n, c in categories.items()])
-    chosen = marked.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
+    chosen = marked.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE).select("_id", F.array(*names).alias("truth"))
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"))
     # SAMPLE rows of whole numbers: small enough to broadcast at any size
-    sample = rows.join(F.broadcast(chosen), "_id").select("_id", "text", F.array(*names).alias("truth"))
+    sample = rows.join(F.broadcast(chosen), "_id").groupBy("_id", "truth").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one"))
+    fold = F.pmod(F.shiftrightunsigned(F.col("_id") * F.lit(2654435761), 7), F.lit(FOLDS)).cast("int")
+    sample = settle(sample.select("_id", "truth", fold.alias("fold"), F.col("one.text").alias("text")), "sample")
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", CHUNK_BYTES):
             found = [list(features(t)) for t in texts_of(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(found, pa.list_(pa.binary()))], ["truth", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(found, pa.list_(pa.binary()))], ["truth", "fold", "found"])
+
+    told = sample.mapInArrow(tell, "truth array<int>, fold int, found array<binary>").select("truth", "fold", F.explode("found").alias("x"))
+
+    def by_fold(value: Column) -> list[Column]:
+        return [F.coalesce(F.sum(F.when(F.col("fold") == f, value)), F.lit(0)).cast("double") for f in range(FOLDS)]
 
-    told = sample.mapInArrow(tell, "truth array<int>, found array<binary>").select("truth", F.explode("found").alias("x"))
-    sums = told.groupBy("x").agg(F.count("*").alias("n"), *[F.sum(F.col("truth")[k]).alias(f"n{k}") for k in range(len(names))])
-    whole = sample.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(F.col("truth")[k]), F.lit(0)).alias(f"n{k}") for k in range(len(names))]).first()
-    if any(not 0 < whole[f"n{k}"] < whole["n"] for k in range(len(names))):
+    def totals() -> list[Column]:
+        """Rows, and rows for each category, in each fold."""
+        return [F.array(*by_fold(v)).alias(n) for n, v in (("n", F.lit(1)), *((f"n{k}", F.col("truth")[k]) for k in range(len(names))))]
+
+    whole = sample.agg(*totals()).first()
+    if any(not 0 < sum(whole[f"n{k}"]) < sum(whole["n"]) for k in range(len(names))):
         return None
-    sums = sums.where(F.col("n") >= LEAST)
-    picked: dict[bytes, int] = {}
-    total = float(whole["n"])
-    for k in range(len(names)):
-        yes = float(whole[f"n{k}"])
-        a, b = F.col(f"n{k}").cast("double"), F.col("n") - F.col(f"n{k}")
-        c, d = yes - a, total - yes - b
-        chi = total * F.pow(a * d - b * c, 2) / (F.col("n") * (total - F.col("n") + 1e-9) * yes * (total - yes))
-        for r in sums.select("x", chi.alias("chi")).orderBy(F.col("chi").desc(), "x").limit(FEATURES // len(names)).collect():
-            picked.setdefault(bytes(r["x"]), len(picked))
+    sums = told.groupBy("x").agg(*totals())
+    told_apart = []
+    for f in range(FOLDS + 1):
+        without = lambda c, f=f: F.aggregate(c, F.lit(0.0), lambda a, v: a + v) - (F.col(c)[f] if f < FOLDS else 0.0)
+        n, total = without("n"), sum(whole["n"]) - (whole["n"][f] if f < FOLDS else 0.0)
+        for k in range(len(names)):
+            yes = sum(whole[f"n{k}"]) - (whole[f"n{k}"][f] if f < FOLDS else 0.0)
+            a = without(f"n{k}")
+            b, c = n - a, yes - a
+            chi = total * F.pow(a * (total - yes - b) - b * c, 2) / (n * (total - n + 1e-9) * (yes * (total - yes) + 1e-9))
+            told_apart.append(F.struct(F.lit(f).alias("f"), F.lit(k).alias("k"), F.when(n >= LEAST, chi).alias("chi")))
+    ranked = sums.select("x", F.explode(F.array(*told_apart)).alias("t")).select("x", "t.*").where("chi IS NOT NULL")
+    best = Window.partitionBy("f", "k").orderBy(F.col("chi").desc(), "x")
+    picks = ranked.withColumn("_nth", F.row_number().over(best)).where(F.col("_nth") <= FEATURES // len(names)).select("f", F.col("x")).collect()
+    picked = {x: i for i, x in enumerate(sorted({bytes(r["x"]) for r in picks}))}
+    allowed = [np.zeros(len(picked), dtype=bool) for _ in range(FOLDS + 1)]
+    for r in picks:
+        allowed[r["f"]][picked[bytes(r["x"])]] = True
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", CHUNK_BYTES):
             texts = texts_of(batch, "text")
             found = [sorted(picked[x] for x in features(t) & picked.keys()) for t in texts]
-            cols = (batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int32())), pa.array([shape(t) for t in texts], pa.list_(pa.float64())))
-            yield pa.RecordBatch.from_arrays(list(cols), ["_id", "truth", "found", "shape"])
+            cols = (batch.column(0), batch.column(1), batch.column(2), pa.array(found, pa.list_(pa.int32())), pa.array([shape(t) for t in texts], pa.list_(pa.float64())))
+            yield pa.RecordBatch.from_arrays(list(cols), ["_id", "truth", "fold", "found", "shape"])
 
-    data = sample.mapInArrow(gather, "_id long, truth array<int>, found array<int>, shape array<double>").collect()
-    data.sort(key=lambda r: (r["_id"], r["found"], r["shape"]))
-    folds = np.array([(r["_id"] * 2654435761 >> 7) % FOLDS for r in data])
-    truth = np.array([r["truth"] for r in data], dtype=float)
-    return fit_chain(names, picked, [r["found"] for r in data], [r["shape"] for r in data], truth, folds)
+    data = sample.mapInArrow(gather, "_id long, truth array<int>, fold int, found array<int>, shape array<double>").collect()
+    data.sort(key=lambda r: r["_id"])
+    truth, folds = np.array([r["truth"] for r in data], dtype=float), np.array([r["fold"] for r in data])
+    return fit_chain(names, picked, [r["found"] for r in data], [r["shape"] for r in data], truth, folds, allowed)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: ``doc_id``, ``p_<category>`` for each category,
     ``toxic`` (the last category's probability reaches its threshold, the one
     of the best out-of-fold F1), ``kept`` (not toxic), and the columns
-    ``keep``, unchanged; their names may not clash with the others.
+    ``keep``, unchanged; one of a name above comes back with ``_in`` after it.
 
     Null, empty and word-less texts are never toxic. Very long texts are read
     whole. Repeated rows give repeated rows; a null doc_id is kept as it is
@@ -223,6 +251,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     """
     chain = learn(docs, labels, categories, id_col, text_col)
     names = [f"p_{n}" for n in categories]
+    own = ["doc_id", *names, "toxic", "kept"]
+    named = kept_names(keep, own)
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,8 +268,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
                 chances = model.predict(model.rows(lists, [shape(t) for t in texts]))
                 toxic = (chances[-1] >= model.thresholds[-1]) & np.array([bool(t and t.split(None, 1)) for t in texts])
             cols = [batch.column(0), *map(pa.array, (*chances, toxic, ~toxic))]
-            yield pa.RecordBatch.from_arrays([*cols, *batch.columns[2:]], ["doc_id", *names, "toxic", "kept", *keep])
+            yield pa.RecordBatch.from_arrays([*cols, *batch.columns[2:]], [*own, *named])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
-    kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, f"doc_id long, {', '.join(f'`{n}` double' for n in names)}, toxic boolean, kept boolean{kept}")
+    schema = StructType.fromDDL(f"doc_id long, {', '.join(f'`{n}` double' for n in names)}, toxic boolean, kept boolean")
+    for c, n in zip(keep, named, strict=True):
+        schema = schema.add(n, docs.schema[c].dataType)
+    return rows.mapInArrow(run, schema)
