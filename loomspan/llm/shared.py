@@ -1,4 +1,4 @@
-"""Global running totals and Arrow helpers."""
+"""Arrow helpers and what several operators share."""
 
 from __future__ import annotations
 
@@ -7,10 +7,7 @@ import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-
-from loomspan.storage import settle
+from pyspark.sql import DataFrame
 
 #: A word: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,28 +29,6 @@ def kept_names(keep: tuple[str, ...], own: list[str]) -> list[str]:
     return out
 
 
-def running_total(df: DataFrame, order: list[str], value: Column, out: str, group: list[str] | None = None) -> DataFrame:
-    """Adds ``out``: the sum of ``value`` over the rows before this one, in
-    ``order``, over all rows or within each ``group``.
-
-    Rows are dealt by ranges of (group, order); each range is summed on its
-    own and a table of one row per range and group carries the sums over. No
-    task sees more than a range, however large one group is. Nulls sort
-    first; ``value`` must not be null.
-    """
-    group = group or []
-    ranged = df.withColumn("_value", value).repartitionByRange(*group, *order)
-    ranged = settle(ranged.withColumn("_range", F.spark_partition_id()), "ranges")
-    sums = ranged.groupBy("_range", *group).agg(F.sum("_value").alias("_sum"))
-    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    sums = sums.select(F.col("_range").alias("_r"), *[F.col(g).alias(f"_g_{g}") for g in group], "_before")
-    on = [F.col("_range") == F.col("_r"), *[F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group]]
-    inside = Window.partitionBy("_range", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = ranged.join(sums, on).withColumn("_inside", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
-    return joined.withColumn(out, F.col("_before") + F.col("_inside")).select(*df.columns, out)
-
-
 def trim() -> None:
     """Gives what a worker has freed back to the system: idle workers stay
     beside the executor's heap."""

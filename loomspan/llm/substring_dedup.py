@@ -31,8 +31,10 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from loomspan.llm.shared import release, settle, slices, spread, texts_of, trim
+from loomspan.llm.shared import kept_names, slices, spread, texts_of, trim
+from loomspan.storage import settle
 
 #: Words of an anchor; text that a task handles at a time; windows that one
 #: automaton holds; numbers that anchors are dealt to tasks by.
@@ -316,16 +318,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     space. Null texts have no words. Rows that repeat an id are judged as one
     document: they lose nothing to each other. A row without an id loses
     nothing and takes nothing from others. An empty table gives no rows;
-    columns not in ``keep`` are ignored, and names in it may not clash with
-    those above.
+    columns not in ``keep`` are ignored; one of a name above comes back with
+    ``_in`` after it.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
     rows = rows.withColumn("row_id", F.xxhash64("text"))
     cut = settle(_cut_segments(rows.select("doc_id", "text", "row_id"), _recurring(rows, window), window), "segments")
-    release(spark)
     spans = settle(_spans(cut, window), "spans")
-    release(spark)
     spans = spans.select(F.col("doc_id").alias("_doc"), F.col("row_id").alias("_row"), "spans")
     joined = rows.join(spans, (F.col("doc_id") == F.col("_doc")) & (F.col("row_id") == F.col("_row")), "left")
     joined = joined.select("doc_id", "text", "spans", *[f"_keep_{c}" for c in keep])
@@ -345,7 +344,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 for out, x in zip(cols, (n, n - len(words), hashlib.sha256(left).hexdigest(), left.decode()), strict=True):
                     out.append(x)
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), *batch.columns[3:]], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", *keep])
-
-    kept = "".join(f", `{c}` {rows.schema[f'_keep_{c}'].dataType.simpleString()}" for c in keep)
-    return joined.mapInArrow(finish, f"doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string{kept}")
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), *batch.columns[3:]], [*own, *named])
+
+    own = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"]
+    named = kept_names(keep, own)
+    schema = StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    for c, n in zip(keep, named, strict=True):
+        schema = schema.add(n, rows.schema[f"_keep_{c}"].dataType)
+    return joined.mapInArrow(finish, schema)
