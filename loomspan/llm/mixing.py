@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.shared import WORD, running_total
+from loomspan.llm.shared import WORD
+from loomspan.operators.ranges import running_total
+from loomspan.storage import settle
 
 #: Sources are few; beyond this the table of targets isn't one for the driver.
 MAX_SOURCES = 100_000
@@ -62,6 +64,8 @@ def mix(drawn: DataFrame, quality: Column, cycle: tuple[float, ...] = (5.0, 2.0,
     table gives an empty result.
     """
     spark = drawn.sparkSession
+    drawn = settle(drawn.withColumn("_quality", quality.cast("double")), "drawn")
+    quality = F.col("_quality")
     weight = F.when(quality > 0, quality).otherwise(F.lit(1.0)).cast("double")
     rows = drawn.select("doc_id", "source", "size", "row_key", (-F.log("_u") / weight).alias("_key"))
     placed = running_total(rows, ["_key", "doc_id", "size"], F.col("size"), "_before", ["source"])
