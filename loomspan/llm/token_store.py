@@ -24,7 +24,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm.shared import slices, spread, texts_of
@@ -214,6 +214,11 @@ def _chunks(spark: SparkSession, path: str) -> DataFrame:
     return table.where(F.col("kind") == "chunk").drop("kind")
 
 
+def _file() -> Column:
+    """The name of the file that a row was read from."""
+    return F.element_at(F.split(F.input_file_name(), "/"), -1)
+
+
 def _manifests(recipes: DataFrame) -> DataFrame:
     """One row per recipe file: the Merkle root over its documents in order."""
 
@@ -235,7 +240,7 @@ def _manifests(recipes: DataFrame) -> DataFrame:
         if name is not None:
             yield row()
 
-    named = recipes.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "start", "n_tokens", "root")
+    named = recipes.select(_file().alias("file"), "start", "n_tokens", "root")
     dealt = named.repartition("file").sortWithinPartitions("file", "start").select("file", "n_tokens", "root")
     return dealt.mapInArrow(run, "file string, n_docs long, n_ids long, root binary")
 
@@ -254,8 +259,8 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     Every chunk is decoded and its address, length and CRC-32 computed from
     its ids; a document's CRC-32 follows from its chunks' by the algebra of
     CRCs, so payloads needn't travel. ``verified``: every part is stored, has
-    the digest that its address states, the lengths add up, and the recipe
-    has its Merkle root.
+    the digest that its address states, the lengths add up, the recipe has
+    its Merkle root, and its file has the root that the manifest states.
     """
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,8 +306,10 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["_start", "ids_crc32", "n_read", "n_chunks", "whole"])
 
     found = found.mapInArrow(joined, "_start long, ids_crc32 long, n_read long, n_chunks int, whole boolean")
-    both = recipes.select("doc_id", "start", "n_tokens").join(found, F.col("start") == F.col("_start"))
-    return both.select("doc_id", "start", F.col("n_read").alias("n_tokens"), "ids_crc32", "n_chunks", (F.col("whole") & (F.col("n_read") == F.col("n_tokens"))).alias("verified"))
+    named = recipes.select("doc_id", "start", "n_tokens", _file().alias("file"))
+    both = named.join(found, F.col("start") == F.col("_start")).join(verify_store(spark, path), "file", "left")
+    good = F.col("whole") & (F.col("n_read") == F.col("n_tokens")) & F.coalesce("ok", F.lit(False))
+    return both.select("doc_id", "start", F.col("n_read").alias("n_tokens"), "ids_crc32", "n_chunks", good.alias("verified"))
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
