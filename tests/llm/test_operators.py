@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomspan.llm import chat_format, lm_scoring, mixing, packing, quality_rules, queries, simhash, substring_dedup, token_store, topk_search, toxicity
 from loomspan.llm.components import connected_components
-from loomspan.llm.shared import running_total
+from loomspan.operators.ranges import running_total
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sequence_id string, row_id string, words string"
 WORDS = [f"w{i}é" if i % 7 == 0 else f"W{i}" for i in range(40)]
@@ -78,6 +78,33 @@ def test_substring_dedup_random_windows(spark):
         assert found[i] == len({x for k in range(len(t) - 3) if tuple(t[k : k + 4]) in earlier for x in range(k, k + 4)})
 
 
+def test_locate_over_several_automata(monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = sorted({tuple(b"w%d" % x for x in rng.integers(0, 5, int(n))) for n in rng.integers(4, 30, 80)})
+    rows = [(list(w), int(low), int(low + rng.integers(0, 2))) for w, low in zip(rows, rng.integers(0, 50, len(rows)), strict=True)]
+    whole = substring_dedup.locate(rows, 4)
+    low: dict[tuple, list] = {}
+    for words, a, b in rows:
+        for k in range(len(words) - 3):
+            low.setdefault(tuple(words[k : k + 4]), []).extend((a, b))
+    for found, (words, _, _) in zip(whole, rows, strict=True):
+        for k in range(len(words) - 3):
+            ids = low[tuple(words[k : k + 4])]
+            assert found[k] == (min(ids) if min(ids) != max(ids) else substring_dedup.NONE)
+    monkeypatch.setattr(substring_dedup, "AUTOMATON", 3)
+    assert all((a == b).all() for a, b in zip(whole, substring_dedup.locate(rows, 4), strict=True))
+
+
+def test_chat_of_any_columns(spark):
+    rows = [(1, 0, "user", "q" * 300_000, "a"), (1, 1, "assistant", "<|" * 100_000, "b")]
+    names = ("nth", "x", "xs", "formatted", "written", "held", "first", "at", "head", "content", "loss_spans", "attachments")
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, c string")
+    for c in names:
+        df = df.withColumn(c, F.lit("clash"))
+    r = chat_format.format_chat(df, chat_format.text_part(F.col("text"))).select(chat_format.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert r.loss == "<|" * 100_000
+
+
 def test_chat_round_trip(spark):
     texts = ["<|im_end|>", "<\\|x", "a<", "|b", "<\\\\||<|", None, "line\nbreak <|nl|>", ""]
     rows = [(1, k, ["user", "assistant", "rö\nle", None][k % 4], t) for k, t in enumerate(texts)] + [(None, None, "assistant", "zz"), (1, 0, "user", "tie")]
@@ -113,6 +140,43 @@ def test_quality_rules(docs, none):
     assert quality_rules.quality_rules(none).count() == 0
 
 
+def longest_repeats(w):
+    """For each place the longest run of words that stands elsewhere too, by trying all."""
+    out = [0] * len(w)
+    for i in range(len(w)):
+        for j in range(len(w)):
+            k = 0
+            while i != j and max(i, j) + k < len(w) and w[i + k] == w[j + k]:
+                k += 1
+            out[i] = max(out[i], k)
+    return out
+
+
+def test_quality_verdicts(spark):
+    rng = np.random.default_rng(21)
+    some = lambda n, k: [f"é{x}" if x % 5 == 0 else f"w{x}" for x in rng.integers(0, k, n)]
+    fresh = lambda n: some(n, 10**6)
+    phrase, long = fresh(30), fresh(120)
+    texts = [fresh(15), fresh(40), phrase + fresh(60) + phrase, phrase + fresh(200) + phrase, long + fresh(300) + long, long + fresh(2200) + long, some(80, 4), fresh(50) * 2, phrase[:8] + fresh(90) + phrase[:8]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("kept", F.lit("clash"))
+    found = {r.doc_id: r for r in quality_rules.quality_rules(df).collect()}
+    for i, w in enumerate(texts):
+        lengths = [k if k >= 8 else 0 for k in longest_repeats(w)] if len(w) < 700 else None
+        r = found[i]
+        if lengths is None:  # both places of the long passage
+            lengths = [0] * len(w)
+            for at in (0, len(w) - 120):
+                for k in range(113):
+                    lengths[at + k] = 120 - k
+        inside = {x for at, k in enumerate(lengths) for x in range(at, at + k)}
+        chars = sum(len(w[x]) for x in inside)
+        assert (r.n_repeat_words, r.covered_chars, r.longest_repeat) == (len(inside), chars, max(lengths))
+        failed = len(w) < 20 or 100 * len(inside) > 30 * len(w)
+        bad = chars > 0.3 * sum(map(len, w)) or max(lengths) > 100 and 10 * max(lengths) > len(w)
+        assert (r.base_failed, r.kept) == (failed, not failed and not bad)
+    assert {r.kept for r in found.values()} == {True, False}
+
+
 def test_repeat_lengths_against_all_pairs():
     rng = np.random.default_rng(0)
     for _ in range(20):
@@ -130,44 +194,66 @@ def test_repeat_lengths_against_all_pairs():
             assert got[i] == best
 
 
-def test_lm_scoring(docs, none):
-    found = lm_scoring.score(docs, max_classes=16).collect()
-    fold = lambda t: bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode()).split() + [b""]
+def fold(text):
+    return bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode()).split() + [b""]
+
+
+def base_rows(rows):
     counts: Counter = Counter()
-    for i, t in ROWS:
+    for i, t in rows:
         if not lm_scoring.is_held_out(i):
             counts.update(fold(t))
     n, v = sum(counts.values()), len(counts)
-    expected = Counter((i, len(fold(t)), sum(counts[w] > 0 for w in fold(t)), round(sum(np.log10((counts[w] + 1) / (n + v + 1)) for w in fold(t)), 4)) for i, t in ROWS)
-    assert Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 4)) for r in found) == expected
+    return n, [(i, len(fold(t)), sum(counts[w] > 0 for w in fold(t)), sum(np.log10((counts[w] + 1) / (n + v + 1)) for w in fold(t))) for i, t in rows]
+
+
+@pytest.mark.parametrize("bounds", [{"least": 2, "most": 30}, {"least": 1, "most": 0}, {}])
+def test_lm_scoring(docs, none, bounds):
+    found = lm_scoring.score(docs, **bounds).collect()
+    n, expected = base_rows(ROWS)
+    key = lambda rows: Counter((i, a, b, round(c, 4)) for i, a, b, c in rows)
+    assert key((r.doc_id, r.n_tokens, r.n_known, r.base_score) for r in found) == key(expected)
     assert all(r.train_tokens == n and r.score < 0 for r in found)
     assert lm_scoring.score(none).count() == 0
 
 
+def test_lm_counts_past_what_a_task_holds(spark):
+    train = [i for i in range(20) if not lm_scoring.is_held_out(i)]
+    held = next(i for i in range(99) if lm_scoring.is_held_out(i))
+    rows = [(train[0], " ".join(f"v{k}" for k in range(270_000))), (train[1], "v1 v2 unseen"), (train[2], "v3"), (held, "v4 never v5")]
+    found = lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string"), least=1).collect()
+    n, expected = base_rows(rows)
+    assert sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 3)) for r in found) == sorted((i, a, b, round(c, 3)) for i, a, b, c in expected)
+
+
 def test_lm_is_normalised():
     rng = np.random.default_rng(1)
-    share = rng.random(9) + 0.1
+    words = lm_scoring.Words([f"w{k}".encode() for k in range(20)])
+    share = rng.random(words.size) + 0.1
     model = lm_scoring.Model.start(share / share.sum(), dims=4)
-    lm_scoring.nce_epoch(model, rng.integers(0, 9, 500), rng.integers(0, 9, 500), rng.integers(0, 9, 500), share / share.sum(), 1)
-    first, second, norm = model.tables()
-    assert np.allclose(np.exp(first[:, None, :] + second[None, :, :] - norm[:, :, None]).sum(axis=2), 1, atol=1e-4)
-
-
-def test_lm_learns_context():
-    ids = np.array([2, 3, 4, 5] * 3000)
-    share = np.bincount(ids, minlength=6) + 1.0
-    model = lm_scoring.Model.start(share / share.sum())
-    near, far = lm_scoring._contexts(ids, np.array([0]))
-    for seed in range(3):
-        lm_scoring.nce_epoch(model, near, far, ids, share / share.sum(), seed)
-    first, second, norm = model.tables()
-    held = np.array([2, 3, 4, 5] * 50)
-    near, far = lm_scoring._contexts(held, np.array([0]))
-    assert (first[near, held] + second[far, held] - norm[near, far])[2:].mean() > np.log(0.5)
-
-
-@pytest.mark.parametrize("scale", [1.0, 1e6])
-def test_topk(spark, scale):
+    trainer = lm_scoring.Trainer(model, words.ending, share / share.sum())
+    ids = rng.integers(0, words.size, 500)
+    trainer.epoch(*words.contexts(ids, np.array([0])), ids, 1)
+    q, first, second, norm = model.score_parts(words.ending)
+    for u, v in rng.integers(0, len(first), (40, 2)):
+        assert abs(np.exp(q @ (first[u] + second[v]) + model.own[:, -1] - norm[u, v]).sum() - 1) < 1e-3
+
+
+def test_lm_learns_context(spark):
+    # four tongues, each with words and endings of its own: what came before tells which
+    rng = np.random.default_rng(5)
+    tongues = [[f"{s}{k}{e}" for k in range(60) for s in "aeiou"] for e in ("ing", "ent", "ung", "ado")]
+    rows = [(i, " ".join(rng.choice(tongues[i % 4], 120))) for i in range(800)]
+    out = lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()
+    per_token = sum(r.score - r.base_score for r in out) / sum(r.n_tokens for r in out)
+    assert len(out) > 50 and per_token > 0.25
+
+
+@pytest.mark.parametrize("scale, small", [(1.0, False), (1e6, False), (1.0, True), (1e3, True)])
+def test_topk(spark, scale, small, monkeypatch):
+    if small:  # many blocks on either side, and many groups of query blocks
+        for name, value in (("CANDIDATES", 16), ("QUERIES", 2), ("STEP", 4), ("GROUP_BYTES", 700)):
+            monkeypatch.setattr(topk_search, name, value)
     rng = np.random.default_rng(3)
     rows = [(int(i), (rng.normal(size=20) * scale).round(3).tolist()) for i in range(200)]
     rows += [(300 + i, rows[0][1]) for i in range(30)] + [(400, None), (420, [None] * 20), (440, [float("nan")] * 20), (None, rows[0][1]), (460, []), (480, [1.0])]
@@ -294,6 +380,56 @@ def test_token_store(spark, docs, none, tmp_path):
     assert token_store.store_digests(none, queries.tokenizer_path("byte_bpe_50k.json")).count() == 0
 
 
+@pytest.mark.parametrize("table", ["raw/kind=chunk", "recipes", "manifests"])
+def test_tampered_store_is_not_verified(spark, tmp_path, table):
+    path = f"{tmp_path}/store"
+    rows = [(i, sentence(i, 200)) for i in range(6)]
+    token_store.write_store(spark.createDataFrame(rows, "doc_id long, text string"), path, queries.tokenizer_path("byte_bpe_50k.json"))
+    assert all(r.verified for r in token_store.read_digests(spark, path).collect())
+    held = spark.read.parquet(f"{path}/{table}")
+    if table == "recipes":  # a document has another's parts
+        other = held.where("doc_id = 3").first().parts
+        held = held.withColumn("parts", F.when(F.col("doc_id") == 2, F.lit(bytes(other))).otherwise(F.col("parts")))
+    elif table == "manifests":
+        held = held.withColumn("root", F.unhex(F.sha2("root", 256)))
+    else:  # one chunk holds another's ids
+        first = held.agg(F.min("address").alias("a"), F.max_by("payload", "address").alias("p")).first()
+        held = held.withColumn("payload", F.when(F.col("address") == first.a, F.lit(bytes(first.p))).otherwise(F.col("payload")))
+    files = held.toArrow()
+    import pyarrow.parquet as pq
+
+    named = [f for f in (tmp_path / "store" / table).glob("*.parquet") if pq.read_metadata(f).num_rows]
+    sizes = [pq.read_metadata(f).num_rows for f in named]
+    assert sum(sizes) == files.num_rows
+    at = 0
+    parts = {f: pq.read_table(f) for f in named}
+    for f, n in zip(named, sizes, strict=True):
+        if table == "recipes":  # each row stays in its file
+            kept = files.filter(pa_in(files["doc_id"], parts[f]["doc_id"]))
+            kept = kept.take(pc_order(kept))
+        else:
+            kept = files.slice(at, n)
+            at += n
+        pq.write_table(kept, f)
+        crc = f.with_name(f".{f.name}.crc")
+        if crc.exists():
+            crc.unlink()
+    verified = {r.doc_id: r.verified for r in token_store.read_digests(spark, path).collect()}
+    assert not all(verified.values()) and (table != "recipes" or not verified[2])
+
+
+def pa_in(column, values):
+    import pyarrow.compute as pc
+
+    return pc.is_in(column, value_set=values.combine_chunks())
+
+
+def pc_order(rows):
+    import pyarrow.compute as pc
+
+    return pc.sort_indices(rows, sort_keys=[("start", "ascending")])
+
+
 def labelled(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
 
@@ -355,3 +491,19 @@ def test_running_total(spark):
     for group in (None, ["g"]):
         for r in running_total(df, ["x"], F.col("v"), "before", group).collect():
             assert r.before == sum(v for g, x, v in rows if x < r.x and (group is None or g == r.g))
+
+
+@pytest.mark.parametrize("name, spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+@pytest.mark.parametrize("group", [1 << 20, 50])
+def test_pieces_give_the_ids_of_whole_texts(name, spaced, group, monkeypatch):
+    from loomspan.llm import tokens
+    from loomspan.llm.tokens import Encoder
+
+    monkeypatch.setattr(tokens, "GROUP", group)
+    monkeypatch.setattr(tokens, "KEPT", 40 if group == 50 else tokens.KEPT)
+    rng = np.random.default_rng(17)
+    bits = ["a", "É", "é", "ÿ", "×", "÷", "ª", "ü", "Straße", "the", "don't", "'s", "'", "s", "7", "42", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\xa0", " ", "　", "\x85", "\x1c", "…", "—", "日本", "ﬁ", "İ", "é", "̸", "=", "<", "<|endoftext|>", "<|startoftext|>", "###", "$$$", ".", ",", "!", "_", "-", "`", "😀"]
+    texts = ["".join(rng.choice(bits, int(n))) for n in rng.integers(0, 30, 1500)] + [None, "", "x" * 9000, " y" * 9000]
+    codec = Encoder(queries.tokenizer_path(name), spaced)
+    for part in (texts, texts[::-1], texts[:9]):  # cold and warm
+        assert [np.frombuffer(x, dtype="<u4").tolist() for x in codec.encode([None if t is None else t.encode() for t in part])] == [x[:-1].tolist() for x in ids_of(name, part)]
