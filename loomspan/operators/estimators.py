@@ -115,11 +115,34 @@ def ols(df: DataFrame, y: str, xs: list[str], effects: list[str], cluster: str,
     return Fit(xs, beta, se, n, g)
 
 
+def _independent(df: DataFrame, columns: list[str], whole: np.ndarray) -> list[bool]:
+    """For each column whether it varies beyond the effects and the columns
+    kept before it; ``whole`` holds the sums of products of what is left."""
+    raw = df.agg(*[F.sum(F.pow(F.col(c).cast("double"), 2)).alias(f"s{i}") for i, c in enumerate(columns)]).first()
+    kept: list[int] = []
+    for i in range(len(columns)):
+        own = rest = whole[i, i]
+        if kept:
+            rest = own - whole[i, kept] @ np.linalg.solve(whole[np.ix_(kept, kept)], whole[kept, i])
+        if own > 1e-18 * (raw[i] or 0.0) and rest > 1e-12 * own:
+            kept.append(i)
+    return [i in kept for i in range(len(columns))]
+
+
 def iv(df: DataFrame, y: str, endog: str, instrument: str, exog: list[str], effects: list[str], cluster: str) -> tuple[Fit, float]:
     """Two-stage least squares with one endogenous regressor, and the first
-    stage's F of the instrument."""
+    stage's F of the instrument.
+
+    Exogenous regressors that the effects or earlier ones determine are left
+    out: their estimates are NaN. An instrument that they determine raises.
+    """
     df = absorb(drop_singletons(df.dropna(subset=[y, endog, instrument, *exog, *effects, cluster]), effects), [y, endog, instrument, *exog], effects)
     r = lambda c: f"_r_{c}"
+    named, order = [endog, *exog], [*exog, instrument]
+    free = _independent(df, order, gram(df, [r(c) for c in order]))
+    if not free[-1]:
+        raise ValueError(f"{instrument} does not vary beyond the effects and the exogenous regressors")
+    exog = [c for c, keep in zip(exog, free, strict=False) if keep]
     zs, xs = [r(instrument), *map(r, exog)], [r(endog), *map(r, exog)]
     whole = gram(df, [r(y), *xs, r(instrument)])
     at = {c: i for i, c in enumerate([r(y), *xs, r(instrument)])}
@@ -140,7 +163,9 @@ def iv(df: DataFrame, y: str, endog: str, instrument: str, exog: list[str], effe
         first = first - float(p) * F.col(z)
     m1, g, n = _meat(df, zs, first, cluster, None)
     v = (np.linalg.inv(zz) @ m1 @ np.linalg.inv(zz))[0, 0] * g / max(1, g - 1) * (n - 1) / max(1, n - len(zs))
-    return Fit([endog, *exog], beta, se, n, g), float(pi[0] ** 2 / v)
+    at = {c: i for i, c in enumerate([endog, *exog])}
+    all_of = lambda found: np.array([found[at[c]] if c in at else np.nan for c in named])
+    return Fit(named, all_of(beta), all_of(se), n, g), float(pi[0] ** 2 / v)
 
 
 def ppml(df: DataFrame, y: str, xs: list[str], effect: str, cluster: str, rounds: int = 50, tol: float = 1e-9) -> Fit:

@@ -26,7 +26,7 @@ def _panel(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _result(spark: SparkSession, fit: E.Fit) -> DataFrame:
-    rows = spark.createDataFrame(fit.rows(), _RESULT)
+    rows = spark.createDataFrame(fit.rows(), _RESULT).replace(float("nan"), None, ["beta", "se"])  # regressors left out
     return rows.withColumn("beta", F.round("beta", 6)).withColumn("se", F.round("se", 6))
 
 
