@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 import pytest
 from conftest import plain
 
+from loomspan.functions import similarity as S
 from loomspan.operators import linkage as L
 from loomspan.plans import catalogue
 from loomspan.plans.texts import _PAIRS
 
 #: By query: the plain score of two texts where no SQL states it.
-QUERIES = ["dl_match", "alias_gate", "jaro_match", "jw_blocked_match", "three_path_pairs", "token_sort_match"]
+QUERIES = ["dl_match", "alias_gate", "jaro_match", "jw_blocked_match", "three_path_pairs", "token_sort_match", "osa_rules"]
 ROWS = 240
 
 
@@ -55,6 +58,13 @@ def _plainly(con, columns: dict) -> pd.DataFrame:
     return p[["a_key", "b_key", *columns]]
 
 
+def _osa(con) -> pd.DataFrame:
+    p = _plainly(con, {"osa": S.osa})
+    n = con.execute("SELECT p_partkey AS a_key, count(*) OVER (PARTITION BY p_name, p_type) AS n FROM part").df()
+    p = p.merge(n, on="a_key")
+    return p[(p["osa"] <= 2) | (p["n"] >= math.e**2)][["a_key", "b_key", "osa"]]
+
+
 def _lcs(a: str, b: str) -> int:
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
@@ -72,5 +82,6 @@ def _sorted(text: str) -> str:
 
 
 EXPECTED = {
+    "osa_rules": _osa,
     "token_sort_match": lambda con: _plainly(con, {"ratio": lambda a, b: round(_ratio(_sorted(a), _sorted(b)), 6)}),
 }
