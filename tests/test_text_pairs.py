@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pandas as pd
 import pytest
@@ -14,7 +15,7 @@ from loomspan.plans import catalogue
 from loomspan.plans.texts import _PAIRS
 
 #: By query: the plain score of two texts where no SQL states it.
-QUERIES = ["dl_match", "alias_gate", "jaro_match", "jw_blocked_match", "three_path_pairs", "token_sort_match", "osa_rules"]
+QUERIES = ["dl_match", "alias_gate", "jaro_match", "jw_blocked_match", "three_path_pairs", "token_sort_match", "osa_rules", "token_ratios"]
 ROWS = 240
 
 
@@ -65,6 +66,27 @@ def _osa(con) -> pd.DataFrame:
     return p[(p["osa"] <= 2) | (p["n"] >= math.e**2)][["a_key", "b_key", "osa"]]
 
 
+def _partly(a: str, b: str) -> float:
+    short, long = sorted((a, b), key=len)
+    return max(_ratio(short, long[max(0, i) : i + len(short)]) for i in range(1 - len(short), len(long)))
+
+
+def _ratios(con) -> pd.DataFrame:
+    """Names and kinds are words without marks, so keys are lower case."""
+    key = str.lower
+    columns = {"plain": lambda a, b: _ratio(key(a), key(b)), "token_set": S.token_set, "partial": _partly, "weighted": S.weighted}
+    return _plainly(con, {k: lambda a, b, f=f: round(f(a, b), 4) for k, f in columns.items()})
+
+
+def test_ratio_by_bits():
+    rng = random.Random(7)
+    for _ in range(400):
+        a, b = ("".join(rng.choices("abc é", k=rng.randrange(90))) for _ in "ab")
+        assert S.indel_ratio(a, b) == (_ratio(a, b) if a or b else 1.0)
+        if a and b:
+            assert S.partial(a[:12], b[:30]) == _partly(a[:12], b[:30])
+
+
 def _lcs(a: str, b: str) -> int:
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
@@ -82,6 +104,7 @@ def _sorted(text: str) -> str:
 
 
 EXPECTED = {
+    "token_ratios": _ratios,
     "osa_rules": _osa,
     "token_sort_match": lambda con: _plainly(con, {"ratio": lambda a, b: round(_ratio(_sorted(a), _sorted(b)), 6)}),
 }
