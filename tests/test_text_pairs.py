@@ -15,7 +15,7 @@ from loomspan.plans import catalogue
 from loomspan.plans.texts import _PAIRS
 
 #: By query: the plain score of two texts where no SQL states it.
-QUERIES = ["dl_match", "alias_gate", "jaro_match", "jw_blocked_match", "three_path_pairs", "token_sort_match", "osa_rules", "token_ratios"]
+QUERIES = ["dl_match", "alias_gate", "jaro_match", "jw_blocked_match", "three_path_pairs", "token_sort_match", "osa_rules", "token_ratios", "lev_within_bound"]
 ROWS = 240
 
 
