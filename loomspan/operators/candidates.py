@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomspan.functions import similarity as S
 from loomspan.functions.text import words
 from loomspan.functions.values import ratio
+from loomspan.storage import settle
 
 
 def best_path(paths: list[tuple[DataFrame, str]], keys: list[str], score: str) -> DataFrame:
@@ -74,11 +75,13 @@ def control_pool(treated: DataFrame, pool: DataFrame, events: DataFrame, block:
 
 def gazetteer_hits(texts: DataFrame, key: str, text: str, places: DataFrame, place: str, most: int = 8) -> DataFrame:
     """``key, place, n_words, at``: runs of one to ``most`` words that are in
-    the gazetteer; of hits that begin at one word the longest."""
-    w = texts.select(key, words(F.lower(F.col(text))).alias("_w"))
-    runs = F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.transform(F.sequence(F.lit(1), F.size("_w")), lambda i: F.struct(i.alias("at"), n.alias("n_words"), F.array_join(F.slice("_w", i, n), " ").alias("gram"), (i + n - 1 <= F.size("_w")).alias("whole"))))
-    grams = w.where(F.size("_w") > 0).select(key, F.explode(F.flatten(runs)).alias("g")).where("g.whole")
-    found = grams.select(key, "g.gram", "g.at", "g.n_words").join(places.select(F.lower(F.col(place)).alias("gram"), F.col(place).alias("place")).distinct(), "gram")
+    the gazetteer; of hits that begin at one word the longest. The gazetteer is
+    written first: Spark sends it to the runs where its size allows."""
+    listed = settle(places.select(F.lower(F.col(place)).alias("gram"), F.col(place).alias("place")).distinct(), "places")
+    w = texts.repartition(key).select(key, words(F.lower(F.col(text))).alias("_w")).where(F.size("_w") > 0)
+    starts = w.select(key, "_w", F.explode(F.sequence(F.lit(1), F.size("_w"))).alias("at"))
+    runs = starts.select(key, "_w", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), F.size("_w") - F.col("at") + 1))).alias("n_words"))
+    found = runs.select(key, "at", "n_words", F.array_join(F.slice("_w", F.col("at"), F.col("n_words")), " ").alias("gram")).join(listed, "gram")
     order = Window.partitionBy(key, "at").orderBy(F.col("n_words").desc(), "place")
     return found.withColumn("_r", F.row_number().over(order)).where("_r = 1").select(key, "place", "n_words", "at")
 
