@@ -7,7 +7,8 @@ ten bits of 64), so whatever the fingerprints leave apart goes through an
 exact filter: two sets of similarity t or more share one of the first
 n - ceil(t n) + 1 shingles of each, in any order that all texts keep. Texts
 are filed under these, the shingles of crowded cells last, and every pair that
-a file proposes between two groups is confirmed in the same way.
+a file proposes between two groups is confirmed in the same way, unless
+sketches of the sets already show too many shingles that only one has.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.llm.components import connected_components
@@ -33,6 +34,12 @@ PIECES = 16
 #: Files of up to so many texts propose all pairs at once; in larger ones
 #: neighbours by size come first, then whatever they leave unconnected.
 SMALL = 8
+#: Rows of other groups, on either side, that a text meets first in its large
+#: files, and how many of them it is held against. A text that joins a group
+#: meets that group no more, so few pairs are left for the exact end.
+NEAR, FEW = 4, 4
+#: Longs of a sketch.
+SKETCH = 8
 SLAB, CHUNK_BYTES = 500_000, 8 << 20
 
 
@@ -80,8 +87,8 @@ def _proposals(rows: tuple[np.ndarray, ...], least: tuple[int, int]) -> Iterator
 
 
 def _across(rows: tuple[np.ndarray, ...], least: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """All possible pairs of the sorted (key, node, n, at, root) rows between two roots."""
-    key, node, n, at, root = rows
+    """All possible pairs of the sorted (key, node, n, at, root, sketch) rows between two roots."""
+    key, node, n, at, root, *bits = rows
     cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
     for lo, hi in zip(cut, cut[1:], strict=False):
         if (root[lo:hi] == root[lo]).all():
@@ -90,10 +97,49 @@ def _across(rows: tuple[np.ndarray, ...], least: tuple[int, int]) -> Iterator[pa
             far = lo + int(np.searchsorted(n[lo:hi], n[i] * least[1] // least[0], side="right"))
             j = np.arange(i + 1, max(i + 1, far))
             j = j[(root[j] != root[i]) & _possible(n[i], at[i], n[j], at[j], least)]
+            j = j[_near(n[i], n[j], [x[i] for x in bits], [x[j] for x in bits], least)]
             if len(j):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
 
 
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """For each bit whether an odd number of the set's hashes falls on it."""
+    odd = np.bincount(((grams >> np.uint64(20)) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _near(na: np.ndarray, nb: np.ndarray, a: list[np.ndarray], b: list[np.ndarray], least: tuple[int, int]) -> np.ndarray:
+    """Pairs that may be similar by their sketches: a bit that differs takes
+    at least one shingle that only one of the sets has."""
+    apart = sum(np.bitwise_count((x ^ y).view(np.uint64)).astype(np.int64) for x, y in zip(a, b, strict=True))
+    return apart * (least[1] + least[0]) <= (na + nb) * (least[1] - least[0])
+
+
+def _beside(rows: tuple[np.ndarray, ...], least: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """For rows of the sorted (key, node, n, at, root, sketch) the possible
+    pairs with their next rows of another root, on either side by size."""
+    key, node, n, at, root, *bits = rows
+    cut = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (root[1:] != root[:-1]))))
+    lengths = np.diff(np.append(cut, len(key)))
+    after, before = np.repeat(cut + lengths, lengths), np.repeat(cut - 1, lengths)
+    for far in range(NEAR):
+        for j in (after + far, before - far):
+            i = np.flatnonzero((j >= 0) & (j < len(key)))
+            j = j[i]
+            keep = (key[i] == key[j]) & (root[i] != root[j])
+            i, j = i[keep], j[keep]
+            keep = _possible(n[i], at[i], n[j], at[j], least) & _near(n[i], n[j], [x[i] for x in bits], [x[j] for x in bits], least)
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(node[i[keep]]), pa.array(node[j[keep]])], ["a", "b"])
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """Of the pairs that each text proposes the ones that most files propose."""
+    order = Window.partitionBy("a").orderBy(F.col("count").desc(), "b")
+    few = pairs.groupBy("a", "b").count().withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= FEW)
+    return few.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _by_key(work, least: tuple[int, int]):
     """``work`` over runs of whole files."""
 
@@ -211,9 +257,26 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = connected_components(links)
     crowded = proposed.where("key IS NOT NULL").select("key", "a", "n", "at")
     if crowded.take(1):
-        crowded = crowded.join(roots, F.col("a") == F.col("node"), "left").select("key", "a", "n", "at", F.coalesce("root", "a").alias("root"))
-        rest = crowded.repartition("key").sortWithinPartitions("key", "n", "a").mapInArrow(_by_key(_across, least), "a long, b long")
-        found = _confirmed(rest.distinct(), nodes, width, least)
+        parts = [f"s{i}" for i in range(SKETCH)]
+
+        def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, "text", CHUNK_BYTES):
+                found = np.array([sketch(shingles(text, width)) for text in texts_of(batch, "text")]).reshape(-1, SKETCH)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, i].copy()) for i in range(SKETCH))], ["node", *parts])
+
+        some = nodes.join(crowded.select(F.col("a").alias("_node")).distinct(), F.col("node") == F.col("_node")).select("node", "text")
+        sketches = settle(some.mapInArrow(sketched, ", ".join(f"{c} long" for c in ("node", *parts))), "sketches")
+
+        def across(work) -> DataFrame:
+            told = sketches.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("node", F.coalesce("root", "node").alias("root"), *parts)
+            rooted = crowded.join(told, F.col("a") == F.col("node")).select("key", "a", "n", "at", "root", *parts)
+            return rooted.repartition("key").sortWithinPartitions("key", "n", "a").mapInArrow(_by_key(work, least), "a long, b long")
+
+        found = _confirmed(_best(across(_beside)), nodes, width, least)
+        if found.take(1):
+            links = links.unionByName(found)
+            roots = connected_components(links)
+        found = _confirmed(across(_across).distinct(), nodes, width, least)
         if found.take(1):
             roots = connected_components(links.unionByName(found))
     named = firsts.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
