@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from loomspan.llm.components import connected_components
 from loomspan.llm.shared import slices, texts_of
-from loomspan.llm.simhash import SEED, close_links, gram_hashes, majority
+from loomspan.llm.simhash import SEED, close_links, forest, gram_hashes, majority
 from loomspan.storage import settle
 
 #: Words of a shingle; least similarity, as a fraction; the trie join's bits.
@@ -41,6 +41,8 @@ NEAR, FEW = 4, 4
 #: Longs of a sketch.
 SKETCH = 8
 SLAB, CHUNK_BYTES = 500_000, 8 << 20
+#: Links that one task may hold; more are joined by rounds over the cluster.
+AT_ONCE = 1_000_000
 
 
 def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
@@ -174,6 +176,28 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, width: int, least: tuple[int,
     return settle(both.mapInArrow(run, "a long, b long"), "links")
 
 
+def _reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the links, and the smallest node that each reaches."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    return nodes, nodes[forest(len(nodes), at[: len(a)], at[len(a) :])]
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    """``node, root`` as by ``connected_components``. Up to ``AT_ONCE`` links
+    are joined in one task: the rounds over a cluster are dozens of stages, and
+    the driver keeps a record of each of their tasks."""
+    if links.count() > AT_ONCE:
+        return connected_components(links)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
+        if held:
+            nodes, roots = _reached(*map(np.concatenate, zip(*held, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], ["node", "root"])
+
+    return settle(links.where("a != b").select("a", "b").coalesce(1).mapInArrow(run, "node long, root long"), "roots")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: tuple[int, int] = LEAST, budget: int = BUDGET) -> DataFrame:
     """One row per input row: ``doc_id, fingerprint`` (of the shingle set, 16
     hex digits), ``component_id``, the smallest doc_id reachable over pairs of
@@ -230,7 +254,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     side = lambda c: prints.select(F.col("fp").alias(c), F.col("one").alias(f"_{c}"))
     close = close_links(prints.select("fp"), budget).join(side("a"), "a").join(side("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
     links = _confirmed(alike.unionByName(close).distinct(), nodes, width, least)
-    roots = settle(connected_components(links), "roots")
+    roots = _roots(links)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crowd = shared.value
@@ -254,7 +278,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     filed = rooted.mapInArrow(file, "key long, a long, n long, at long, root long").repartition("key").sortWithinPartitions("key", "n", "a")
     proposed = settle(filed.mapInArrow(_by_key(_proposals, least), "key long, a long, b long, n long, at long"), "proposed")
     links = links.unionByName(_confirmed(proposed.where("key IS NULL").select("a", "b").distinct(), nodes, width, least))
-    roots = connected_components(links)
+    roots = _roots(links)
     crowded = proposed.where("key IS NOT NULL").select("key", "a", "n", "at")
     if crowded.take(1):
         parts = [f"s{i}" for i in range(SKETCH)]
@@ -275,10 +299,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         found = _confirmed(_best(across(_beside)), nodes, width, least)
         if found.take(1):
             links = links.unionByName(found)
-            roots = connected_components(links)
+            roots = _roots(links)
         found = _confirmed(across(_across).distinct(), nodes, width, least)
         if found.take(1):
-            roots = connected_components(links.unionByName(found))
+            roots = _roots(links.unionByName(found))
     named = firsts.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = named.join(smallest, "root").select(F.col("node").alias("_node"), "component_id")

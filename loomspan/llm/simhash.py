@@ -103,18 +103,16 @@ def _close_pairs(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget:
     return np.concatenate(left), np.concatenate(right)
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest position that each position reaches."""
     label = np.arange(n)
     while len(a):
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(label, label[a], low)
-        np.minimum.at(label, label[b], low)
-        label = label[label]
+        ra, rb = label[a], label[b]
+        np.minimum.at(label, np.maximum(ra, rb), np.minimum(ra, rb))  # only roots are hooked: no tree loses its parent
+        while (label != label[label]).any():
+            label = label[label]
         open_ = label[a] != label[b]
         a, b = a[open_], b[open_]
-    while (label != label[label]).any():
-        label = label[label]
     return label
 
 
@@ -129,7 +127,7 @@ def _links(keys: np.ndarray, fps: np.ndarray, budget: int) -> pa.RecordBatch | N
     a, b = _close_pairs(fps, cut[many], ends[many], budget)
     if not len(a):
         return None
-    label = _forest(len(fps), a, b)
+    label = forest(len(fps), a, b)
     out = np.flatnonzero(label != np.arange(len(fps)))
     return pa.RecordBatch.from_arrays([pa.array(fps[out].view(np.int64)), pa.array(fps[label[out]].view(np.int64))], ["a", "b"])
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 
 from loomspan.llm import near_copies as N
+from loomspan.llm.simhash import forest
 
 
 def test_sketches_drop_no_similar_pair():
@@ -33,3 +35,30 @@ def test_crowd_makes_few_pairs(spark, monkeypatch):
     expected = {i: next(j for j in sorted(sets) if N.similar(sets[i], sets[j], (4, 5))) for i in sets}
     assert {r.doc_id: r.component_id for r in found} == expected
     assert sum(seen) <= 4 * len(rows)
+
+
+def test_forests_lose_no_link():
+    rng = np.random.default_rng(1)
+    for _ in range(20_000):
+        n = int(rng.integers(2, 30))
+        a, b = rng.integers(0, n, (2, int(rng.integers(1, 40))))
+        a, b = a[a != b], b[a != b]
+        expected = np.arange(n)
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            low, high = sorted((expected[x], expected[y]))
+            expected[expected == high] = low
+        assert (forest(n, a, b) == expected).all()
+
+
+def test_few_links_take_few_stages(spark, monkeypatch):
+    monkeypatch.setattr(N, "connected_components", lambda links: pytest.fail("few links went through rounds"))
+    links = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(-7, 900), (5, 5), (77, 77)], "a long, b long")
+    assert {r.node: r.root for r in N._roots(links).collect()} == {**dict.fromkeys(range(41), 0), -7: -7, 900: -7}
+
+
+def test_rounds_and_one_task_agree(spark, monkeypatch):
+    rng = random.Random(3)
+    links = spark.createDataFrame([(rng.randrange(400) - 200, rng.randrange(400) - 200) for _ in range(260)], "a long, b long")
+    at_once = sorted(N._roots(links).collect())
+    monkeypatch.setattr(N, "AT_ONCE", 0)
+    assert sorted(N._roots(links).collect()) == at_once
